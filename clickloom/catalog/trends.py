@@ -192,6 +192,7 @@ def _(m):
     return dense.join(counts, ["path", "bucket"], "left").fillna(0, ["n"])
 
 
-@query("SCL04_epoch_seconds", f"WITH {EV} SELECT event_id, {r4('epoch_us(created_at) / 1000000')} AS epoch FROM ev")
+@query("SCL04_epoch_seconds", f"WITH {EV} SELECT event_id, epoch_us(created_at) AS epoch_micros FROM ev")
 def _(m):
-    return m.ev.select("event_id", calendar.epoch_seconds(F.col("created_at")).alias("epoch"))
+    seconds = calendar.epoch_seconds(F.col("created_at"))
+    return m.ev.select("event_id", F.round(seconds * 1e6).cast("long").alias("epoch_micros"))

@@ -7,10 +7,11 @@ from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickloom.functions import calendar
 from clickloom.functions.props import PropertyFilter, and_filters, predicate
+from clickloom.plans.small import broadcast_if_small
 
 DAYS = {"day": 1, "week": 7, "month": 30}
 BEHAVIOURS = (
@@ -198,14 +199,30 @@ def duplicate(current: DataFrame, cohort_id: str, new_id: str) -> DataFrame:
     return current.select("cohort_id", "visitor_id").unionByName(copy)
 
 
-def ids_from_csv(lines: DataFrame, column: str = "value") -> DataFrame:
+# Names that mark a header line.
+HEADER_NAMES = ["visitor_id", "user_id", "distinct_id", "id", "email"]
+
+
+def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, is_first`` of every line of the uploaded files."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    heads = lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min("_id").alias("_head"))
+    joined = lines.join(broadcast_if_small(heads), "_file", "left")
+    return joined.select("value", (F.col("_id") == F.col("_head")).alias("is_first"))
+
+
+def ids_from_csv(lines: DataFrame) -> DataFrame:
     """First field of every line; quotes, blanks and a header line are dropped."""
-    quoted = F.regexp_extract(F.trim(column), r'^"((?:[^"]|"")*)"', 1)
-    plain = F.trim(F.get(F.split(F.col(column), ","), F.lit(0)))
-    first = F.when(F.trim(column).startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain)
-    ids = lines.select(F.trim(first).alias("visitor_id"))
-    header = F.lower("visitor_id").isin("visitor_id", "distinct_id", "id", "user_id")
-    return ids.filter((F.col("visitor_id") != "") & ~header).distinct()
+    first = F.trim(F.get(F.split("value", ","), F.lit(0)))
+    bare = F.trim(F.regexp_replace(first, '^"+|"+$', ""))
+    ids = lines.select(bare.alias("visitor_id"), "is_first")
+    header = F.col("is_first") & F.lower("visitor_id").isin(HEADER_NAMES)
+    return ids.filter((F.col("visitor_id") != "") & ~header).select("visitor_id").distinct()
 
 
 def resolve_visitors(ids: DataFrame, profiles: DataFrame, aliases: DataFrame, sessions: DataFrame) -> DataFrame:
