@@ -13,7 +13,7 @@ EV = """ev AS (
     CASE kk % 5 WHEN 0 THEN 'www.google.com' WHEN 1 THEN 'chatgpt.com'
       WHEN 2 THEN 't.co' WHEN 3 THEN 'news.example.org' END AS referrer_domain,
     CASE WHEN event_type = 'purchase' THEN CASE kk % 2 WHEN 0 THEN 'USD' ELSE 'EUR' END END AS revenue_currency,
-    CASE kk % 3 WHEN 1 THEN 'Home' WHEN 2 THEN 'Docs' END AS title
+    CASE kk % 3 WHEN 1 THEN 'Home' WHEN 2 THEN 'Docs' END AS title, kk * 137 AS duration_ms
   FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS kk FROM events))"""
 
 EVS = EV + """, evg AS (

@@ -59,6 +59,7 @@ class Demo:
         return base.filter(F.col("event") == PAGEVIEW).select(
             "event_id", "project_id", "visitor_id", "uid", "session_id", "created_at", "path", "k", "value",
             pick([None, "Home", "Docs"], k).alias("title"),
+            (k * 137).cast("long").alias("duration_ms"),
             *self.touch_columns(),
             F.col("props").alias("properties"),
         )
