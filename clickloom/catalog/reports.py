@@ -364,7 +364,7 @@ def _(m):
     return m.ev.select("event_id", *m.touch_columns()).select("event_id", C.ai_provider(F.col("referrer_domain")).alias("provider"))
 
 
-@query("SCL08_paid_search_social", f"WITH {EV} SELECT event_id, utm_medium = 'cpc' AS paid, regexp_matches(coalesce(referrer_domain, ''), 'google') AS search, referrer_domain = 't.co' OR utm_source = 'facebook' AS social, coalesce(referrer_domain, '') = 't.co' AS host_social FROM ev")
+@query("SCL08_paid_search_social", f"WITH {EV} SELECT event_id, utm_medium = 'cpc' AS paid, regexp_matches(coalesce(referrer_domain, ''), 'google') AS search, regexp_matches(referrer_domain, 't[.]co') OR utm_source = 'facebook' AS social, coalesce(referrer_domain, '') = 't.co' AS host_social FROM ev")
 def _(m):
     d = F.coalesce("referrer_domain", F.lit(""))
     return m.ev.select("event_id", *m.touch_columns()).select(
