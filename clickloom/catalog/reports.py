@@ -382,7 +382,7 @@ def _campaign_sql(keys: str, where: str, final: str = "true") -> str:
       allrows AS (SELECT {keys}, sessions, pageviews, bounces FROM campaigns WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-30' UNION ALL SELECT * FROM today),
       sums AS (SELECT {keys}, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(pageviews) AS BIGINT) AS pageviews, sum(bounces) AS bounces FROM allrows WHERE {final} GROUP BY {keys}),
       u AS (SELECT {keys}, count(DISTINCT visitor_id) AS visitors FROM k WHERE {IN} GROUP BY {keys})
-      SELECT {keys}, coalesce(visitors, 0) AS visitors, sessions, pageviews, {r4('CASE WHEN sessions > 0 THEN bounces / sessions * 100 ELSE 0 END')} AS bounce_rate FROM sums LEFT JOIN u USING ({keys})"""
+      SELECT {keys}, coalesce(visitors, 0) AS visitors, sessions, pageviews, CAST(bounces AS BIGINT) AS bounces, {r4('CASE WHEN sessions > 0 THEN bounces / sessions * 100 ELSE 0 END')} AS bounce_rate FROM sums LEFT JOIN u USING ({keys})"""
 
 
 for _name, _keys, _where, _final in (

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+EPSILON = 2.220446049250313e-16
+
 # Coefficients of the published error-function polynomial 7.1.26.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -55,8 +57,8 @@ def compare_proportions(hits: Column, size: Column, base_hits: Column, base_size
     rate, base = F.try_divide(hits.cast("double"), size), F.try_divide(base_hits.cast("double"), base_size)
     pooled = F.try_divide((hits + base_hits).cast("double"), size + base_size)
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), size) + F.try_divide(F.lit(1.0), base_size)))
-    z = F.when(error > 0, (rate - base) / error).otherwise(0.0)
-    p = F.when(error > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - normal_cdf(F.abs(z)))))).otherwise(1.0)
+    z = F.when(error > EPSILON, (rate - base) / error).otherwise(0.0)
+    p = F.when(error > EPSILON, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - normal_cdf(F.abs(z)))))).otherwise(1.0)
     lift = F.when(base > 0, (rate - base) / base * 100).otherwise(F.when(rate > 0, 100.0).otherwise(0.0))
     return Comparison(
         F.when(usable, lift), F.when(usable, p), F.when(usable, (1 - p) * 100), F.when(usable, p < 0.05)

@@ -45,7 +45,7 @@ def campaign_stats(
     if len(keys) == 1:
         sums = sums.filter(F.col(keys[0]) != "")
     out = sums.join(_campaign_uniques(tagged, daily, span, keys), keys, "left").select(
-        *keys, F.coalesce("visitors", F.lit(0)).alias("visitors"), "sessions", "pageviews",
+        *keys, F.coalesce("visitors", F.lit(0)).alias("visitors"), "sessions", "pageviews", "bounces",
         percent(F.col("bounces"), F.col("sessions")).alias("bounce_rate"),
     )
     return page(out, [F.desc("pageviews"), *[F.col(k) for k in keys]], limit, offset)

@@ -221,8 +221,8 @@ class Demo:
             pick(["love the ", "slow and confusing ", "", "great "], F.col("k")), F.coalesce(F.substring("text", 1, 40), F.lit("none given"))
         )
         answers = F.array(
-            F.struct(F.lit("nps").alias("question_id"), (F.col("k") % 11).cast("string").alias("value")),
-            F.struct(F.lit("comment").alias("question_id"), comment.alias("value")),
+            F.struct(F.lit("nps").alias("question"), (F.col("k") % 11).cast("string").alias("answer")),
+            F.struct(F.lit("comment").alias("question"), comment.alias("answer")),
         )
         return base.select(
             F.col("event_id").alias("response_id"),
