@@ -292,8 +292,8 @@ def _(m):
 @query("AGG68_experiment_results", f"""WITH {_EXP}, a AS (SELECT variant, count(*) AS n FROM seen GROUP BY 1), c AS (SELECT variant, count(*) AS x FROM conv GROUP BY 1),
   base AS (SELECT v.variant, coalesce(a.n, 0) AS n, coalesce(c.x, 0) AS x, (SELECT n FROM a WHERE variant = 'control') AS bn, (SELECT x FROM c WHERE variant = 'control') AS bx FROM (VALUES ('control'), ('b'), ('ghost')) v(variant) LEFT JOIN a USING (variant) LEFT JOIN c USING (variant)),
   zt AS ({_ZTEST.replace('FROM base', "FROM base WHERE n > 0 AND variant <> 'control'")}), e AS ({_ERF})
-  SELECT b.variant, b.n AS assignments, b.x AS conversions, {r4('CASE WHEN b.n > 0 THEN b.x / b.n * 100 ELSE 0 END')} AS conversion_rate, {r4('(e.x / e.n - e.bx / e.bn) / (e.bx / e.bn) * 100')} AS lift_percent, {r4(f'greatest(0, least(1, {_P}))')} AS p_value,
-    {r4(f'(1 - greatest(0, least(1, {_P}))) * 100')} AS confidence, coalesce({_P} < 0.05, false) AS significant, b.variant = 'control' AS is_baseline, coalesce({_P} < 0.05 AND e.x / e.n > e.bx / e.bn, false) AS is_winner FROM base b LEFT JOIN e USING (variant)""")
+  SELECT b.variant, b.n AS assignments, b.x AS conversions, {r4('CASE WHEN b.n > 0 THEN b.x / b.n * 100 ELSE 0 END')} AS conversion_rate, {r4('(e.x / e.n - e.bx / e.bn) / (e.bx / e.bn) * 100')} AS lift_percent, CASE WHEN e.n > 0 THEN {r4(f'greatest(0, least(1, {_P}))')} END AS p_value,
+    CASE WHEN e.n > 0 THEN {r4(f'(1 - greatest(0, least(1, {_P}))) * 100')} END AS confidence, coalesce({_P} < 0.05, false) AS significant, b.variant = 'control' AS is_baseline, coalesce({_P} < 0.05 AND e.x / e.n > e.bx / e.bn, false) AS is_winner FROM base b LEFT JOIN e USING (variant)""")
 def _(m):
     return X.experiment_results(m.exposures, m.conversions, ["control", "b", "ghost"], "2024-01-01", "2024-01-20")
 

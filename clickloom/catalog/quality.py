@@ -48,7 +48,7 @@ def _(m):
 # Errors.
 
 _PRINT = "substring(sha256(message || '|' || filename || '|' || lineno || '|' || coalesce(trim(split_part(stack, chr(10), 2)), '')), 1, 32)"
-_PRINTED = f"{ERRORS}, printed AS (SELECT *, {_PRINT} AS fingerprint FROM js_errors), maps AS (SELECT 'r' || (i % 2) AS release, CASE WHEN i < 2 THEN 'prod' ELSE 'stage' END AS environment, 'js/f' || i || '.js' AS minified_url, i AS map_id, i AS at FROM range(4) t(i) UNION ALL SELECT 'r0', 'prod', 'f2.js', 10, 20 UNION ALL SELECT 'r0', 'prod', 'js/f2.js', 11, 30)"
+_PRINTED = f"{ERRORS}, printed AS (SELECT *, {_PRINT} AS fingerprint FROM js_errors), maps AS (SELECT 'r' || (i % 2) AS release, CASE WHEN i < 2 THEN 'prod' ELSE 'stage' END AS environment, 'js/f' || i || '.js' AS minified_url, i AS map_id, i AS made FROM range(4) t(i) UNION ALL SELECT 'r0', 'prod', 'f2.js', 10, 20 UNION ALL SELECT 'r0', 'prod', 'js/f2.js', 11, 30)"
 
 
 def _maps(m):
@@ -70,7 +70,7 @@ for _name in ("AGG42_error_groups", "JON13_mapped_error_groups"):
         return Q.error_groups(Q.with_fingerprint(m.js_errors), _maps(m), SPAN, limit=None)
 
 
-@query("JON12_error_source_map", f"WITH {_PRINTED} SELECT event_id, (SELECT map_id FROM maps m WHERE m.release = e.release AND m.environment = e.environment AND ends_with(e.filename, m.minified_url) ORDER BY at DESC LIMIT 1) AS source_map_id FROM printed e".replace("(SELECT map_id", "CAST((SELECT map_id").replace("LIMIT 1)", "LIMIT 1) AS BIGINT)"))
+@query("JON12_error_source_map", f"WITH {_PRINTED} SELECT event_id, (SELECT map_id FROM maps m WHERE m.release = e.release AND m.environment = e.environment AND ends_with(e.filename, m.minified_url) ORDER BY made DESC LIMIT 1) AS source_map_id FROM printed e".replace("(SELECT map_id", "CAST((SELECT map_id").replace("LIMIT 1)", "LIMIT 1) AS BIGINT)"))
 def _(m):
     return Q.match_source_maps(m.js_errors, _maps(m)).select("event_id", "source_map_id")
 

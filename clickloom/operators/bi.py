@@ -93,7 +93,7 @@ class Metric:
     where: str = "true"
 
     def column(self) -> Column:
-        return F.expr(f"({self.expression}) FILTER (WHERE {self.where})")
+        return F.expr(f"{self.expression} FILTER (WHERE {self.where})")
 
 
 def filter_column(dataset: str, key: str) -> Column:

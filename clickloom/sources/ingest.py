@@ -30,7 +30,7 @@ ENVELOPE = """type string, timestamp bigint, project_id string, visitor_id strin
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Envelope columns, the event time (client time, else arrival) and the raw text."""
     rows = lines.select(F.col(column).alias("raw"), "received_at", F.from_json(column, ENVELOPE).alias("e"))
-    at = F.coalesce(F.timestamp_millis("e.timestamp"), F.col("received_at"))
+    at = F.coalesce(F.timestamp_millis("timestamp"), F.col("received_at"))
     return rows.select("raw", "received_at", "e.*").withColumn("created_at", at)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.functions.calendar import instant
 from clickloom.plans.small import broadcast_if_small
-from clickloom.schema import table_schema
+from clickloom.schema import TABLES, table_schema
+
+TABLES_ON_FILE = frozenset(TABLES)
 
 
 def month_of(ts: str = "created_at") -> Column:
