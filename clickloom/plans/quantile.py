@@ -18,6 +18,7 @@ def percentiles(
     value: str,
     probabilities: dict[str, float],
     max_group_rows: int = MAX_GROUP_ROWS,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group with a column for every probability.
 
@@ -27,7 +28,7 @@ def percentiles(
     """
     keys = list(keys)
     if not keys:
-        whole = percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probabilities, max_group_rows)
+        whole = percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probabilities, max_group_rows, accuracy)
         return whole.drop("_all")
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -35,19 +36,21 @@ def percentiles(
         return values.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(p)).alias(name) for name, p in probabilities.items()]
         )
-    return _bracketed(values, keys, probabilities)
+    return _bracketed(values, keys, probabilities, accuracy)
 
 
-def _bracketed(values: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
-    # The sketch ranks a value within n / ACCURACY, so two such steps on either
-    # side of the wanted rank always enclose it.
-    margin = 2.0 / ACCURACY
+def _bracketed(values: DataFrame, keys: list[str], probabilities: dict[str, float], accuracy: int) -> DataFrame:
+    # The sketch ranks a value within n / accuracy, so two such steps on either
+    # side enclose the wanted rank and its neighbour. Groups too small for that
+    # to span a few ranks are ranked whole.
+    margin = 2.0 / accuracy
+    small = F.col("_n") <= 4 * accuracy
     names = list(probabilities)
     low = [max(0.0, probabilities[n] - margin) for n in names]
     high = [min(1.0, probabilities[n] + margin) for n in names]
 
     def points(ps: list[float]) -> Column:
-        return F.percentile_approx("_v", ps, ACCURACY)
+        return F.percentile_approx("_v", ps, accuracy)
 
     stats = values.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -57,8 +60,8 @@ def _bracketed(values: DataFrame, keys: list[str], probabilities: dict[str, floa
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                (F.col("_min") if low[i] <= 0 else F.col("_lo")[i]).alias("lo"),
-                (F.col("_max") if high[i] >= 1 else F.col("_hi")[i]).alias("hi"),
+                F.when(small | F.lit(low[i] <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+                F.when(small | F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
                 (F.lit(probabilities[n]) * (F.col("_n") - 1)).alias("rank"),
             )
             for i, n in enumerate(names)

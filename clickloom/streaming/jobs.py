@@ -167,7 +167,7 @@ def silence_step(hours: float, repeat_hours: float):
         wait = repeat_hours * 3600 if silent >= hours * 3600 else hours * 3600 - silent
         state.setTimeoutDuration(max(1000, int(wait * 1000)))
         if fires:
-            yield pd.DataFrame({"project_id": [key[0]], "alert_at": [pd.Timestamp(now, unit="s")], "hours_without_traffic": [silent / 3600]})
+            yield pd.DataFrame({"project_id": [key[0]], "alert_at": [pd.Timestamp(int(now * 1000), unit="ms")], "hours_without_traffic": [silent / 3600]})
 
     return step
 
