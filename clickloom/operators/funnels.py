@@ -190,14 +190,22 @@ def _unordered(line: Timeline, q: FunnelQuery) -> DataFrame:
     firsts = F.array_compact(F.array(*[F.get(F.col(c), F.lit(0)) for c in names]))
     simple = F.array_distinct(firsts)
     # Distinct first candidates are already a full matching.
-    overlap = F.size(simple) < F.size(firsts)
-    matched = F.when(overlap, _match_steps(ids)).otherwise(F.transform(simple, lambda e: e["id"]))
+    matched = F.transform(simple, lambda e: e["id"])
+    if not _disjoint(q.steps):
+        overlap = F.size(simple) < F.size(firsts)
+        matched = F.when(overlap, _match_steps(F.when(overlap, ids))).otherwise(matched)
     rows = rows.withColumn("used", matched)
     pool = F.array_distinct(F.flatten(F.array(*[F.col(c) for c in names])))
     chosen = F.filter(pool, lambda e: F.array_contains(F.col("used"), e["id"]))
     return rows.withColumn("chain", F.array_sort(chosen))
 
 
+def _disjoint(steps: tuple[Step, ...]) -> bool:
+    """Steps on different named events never share an event."""
+    names = [s.event for s in steps]
+    return None not in names and len(set(names)) == len(names)
+
+
 @F.pandas_udf(types.ArrayType(types.LongType()))
 def _match_steps(options: pd.Series) -> pd.Series:
     """Events of a maximum matching between steps and their candidates."""
@@ -219,7 +227,7 @@ def _match_steps(options: pd.Series) -> pd.Series:
             place(step, set())
         return sorted(int(e) for e in taken)
 
-    return options.map(lambda lists: match([list(x) for x in lists]))
+    return options.map(lambda lists: None if lists is None else match([list(x) for x in lists]))
 
 
 def grouped(found: DataFrame, q: FunnelQuery) -> DataFrame:

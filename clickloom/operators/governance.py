@@ -73,19 +73,25 @@ def validate_events(events: DataFrame, schemas: DataFrame, mode: str = "observe"
             F.lit(kind).alias("violation_type"), prop.alias("property"), expected.alias("expected_type"), actual.alias("actual_type")
         )
 
-    def check(rule: Column) -> Column:
-        value = lookup(root, rule["field"])
-        filled = value.isNotNull() & (type_name(value) != "null")
-        missing = rule["required"] & ~F.coalesce(filled, F.lit(False))
-        wrong = F.coalesce(filled, F.lit(False)) & rule["type"].isNotNull() & ~matches_type(value, rule["type"])
+    def check(entry: Column) -> Column:
+        rule, value = entry["rule"], entry["value"]
+        filled = F.coalesce(value.isNotNull() & (type_name(value) != "null"), F.lit(False))
+        missing = rule["required"] & ~filled
+        wrong = filled & rule["type"].isNotNull() & ~matches_type(value, rule["type"])
         return F.when(missing, violation("missing_required_property", rule["field"], none, none)).when(
             wrong, violation("property_type_mismatch", rule["field"], rule["type"], type_name(value))
         )
 
+    def with_values(document: Column) -> Column:
+        return F.transform(rules, lambda r: F.struct(r.alias("rule"), lookup(document, r["field"]).alias("value")))
+
+    rules = F.coalesce("_rules", F.array().cast("array<struct<field:string,type:string,required:boolean>>"))
+    # The document is bound to a lambda variable, so each payload is parsed once.
+    entries = F.get(F.transform(F.array(root), with_values), F.lit(0))
     unknown = F.when(F.col("_status").isNull(), violation("unknown_event", none, none, none))
     unapproved = F.when(F.col("_status") != "approved", violation("unapproved_event", none, none, none))
     found = F.array_compact(
-        F.concat(F.array(unknown, unapproved), F.transform(F.coalesce("_rules", F.array().cast("array<struct<field:string,type:string,required:boolean>>")), check))
+        F.concat(F.array(unknown, unapproved), F.transform(entries, check))
     )
     out = joined.withColumn("violations", found)
     accepted = F.lit(True) if mode == "observe" else F.size("violations") == 0

@@ -231,7 +231,11 @@ def aggregate(found: DataFrame, q: TrendsQuery) -> DataFrame:
             parts.append(_actor_values(sums, q, keys, plain))
         ranked = maths & set(QUANTILES)
         if ranked:
-            sums = percentiles(counts, keys, "c", {m: QUANTILES[m] for m in sorted(ranked)})
+            # Few distinct counts exist: m of them need about m * m / 2 events.
+            weighted = counts.groupBy(*keys, "c").agg(F.count("*").alias("actors"))
+            sums = weighted.groupBy(*keys).agg(
+                *[F.percentile("c", F.lit(QUANTILES[m]), F.col("actors")).alias(m) for m in sorted(ranked)]
+            )
             parts.append(_actor_values(sums, q, keys, ranked))
     return reduce(DataFrame.unionByName, parts)
 
