@@ -9,6 +9,7 @@ from clickloom.catalog.registry import query
 from clickloom.catalog.reports import IN as SPAN_IN, SPAN, _campaign_sql
 from clickloom.operators import bi as I, reports as R, rollups as U, routing as O
 from clickloom.operators.bi import Metric, Policy
+from clickloom.plans.small import with_row
 from clickloom.sources import exports as E, ingest as G, tables as T
 from clickloom.sources.demo import Demo, pick
 from clickloom.sources.sessions import assign_sessions, summarise_sessions
@@ -287,7 +288,7 @@ def _(m):
 def _(m):
     orders = m.table("orders").withColumn("created_at", F.col("o_orderdate").cast("timestamp"))
     a = T.retained(orders, "1997-03-15").agg(F.count("*").alias("by_month"))
-    return a.join(T.retained(orders, "1997-03-15", by_month=False).agg(F.count("*").alias("by_row")))
+    return with_row(a, T.retained(orders, "1997-03-15", by_month=False).agg(F.count("*").alias("by_row")))
 
 
 # Exports and summaries.

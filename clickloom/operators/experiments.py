@@ -13,6 +13,7 @@ from clickloom.functions.hashing import assigned_variant, in_rollout, weighted_v
 from clickloom.functions.props import all_of
 from clickloom.functions.stats import compare_proportions, percent
 from clickloom.functions.targeting import Rules, matches
+from clickloom.plans.small import with_row
 
 
 def first_exposures(exposures: DataFrame, order: Sequence[str] = ("created_at", "event_id")) -> DataFrame:
@@ -195,7 +196,7 @@ def goal_stats(conversions: DataFrame, sessions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("revenue_amount"), F.lit(0)).cast("double").alias("total_revenue"),
     )
     everyone = sessions.agg(F.count_distinct("visitor_id").alias("_all"))
-    out = per.join(F.broadcast(everyone))  # one row
+    out = with_row(per, everyone)
     return out.select(
         "goal_id", "conversions", "unique_visitors", "total_revenue",
         percent(F.col("conversions"), F.col("_all")).alias("conversion_rate"),

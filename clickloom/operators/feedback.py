@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.stats import percent, ratio
-from clickloom.plans.small import broadcast_if_small
+from clickloom.plans.small import broadcast_if_small, with_row
 
 # Words that decide the sentiment of an answer.
 POSITIVE = ["love", "great", "excellent", "easy", "fast", "helpful", "useful", "clear", "happy", "awesome", "better", "best"]
@@ -177,4 +177,4 @@ def usage_stats(generations: DataFrame, evaluations: DataFrame) -> DataFrame:
         F.count("*").alias("evaluation_count"),
         (ratio(F.count_if("passed"), F.count("passed")) * 100).alias("evaluation_pass_rate"),
     )
-    return use.join(checks)  # two single rows
+    return with_row(use, checks)

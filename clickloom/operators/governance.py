@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.calendar import instant
 from clickloom.operators.trends import page
-from clickloom.plans.small import broadcast_if_small
+from clickloom.plans.small import broadcast_if_small, with_row
 
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 VARIANT_MAP = "map<string,variant>"
@@ -137,7 +137,7 @@ def governance_health(events: DataFrame, schemas: DataFrame, violations: DataFra
     counts = recent.agg(
         F.count("*").alias("violations_24h"), *[F.count_if(F.col("violation_type") == k).alias(n) for k, n in VIOLATIONS.items()]
     )
-    row = coverage(events, schemas, now, plan_id).join(counts)  # two single rows
+    row = with_row(coverage(events, schemas, now, plan_id), counts)
     ratio = F.when(F.col("observed_events_24h") == 0, 1.0).otherwise(F.col("covered_events_24h") / F.col("observed_events_24h"))
     row = row.withColumn("coverage_ratio", ratio)
     status = (

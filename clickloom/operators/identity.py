@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clickloom.functions.props import and_filters
 from clickloom.operators.trends import page
 from clickloom.plans.graph import connected_components, resolve_chains
-from clickloom.plans.small import broadcast_if_small
+from clickloom.plans.small import broadcast_if_small, with_row
 
 MAP = "map<string,string>"
 MAX_GROUP_TYPES, MAX_KEY = 5, 400
@@ -184,14 +184,14 @@ def assign_group_types(existing: DataFrame, seen: DataFrame) -> DataFrame:
 
 def stamp_groups(df: DataFrame, mapping: DataFrame, groups: str = "groups", properties: str = "properties") -> DataFrame:
     """Write ``{type: key}`` into ``$group_<i>``; the mapping has at most five rows."""
-    indexes = F.broadcast(mapping.limit(MAX_GROUP_TYPES)).agg(
+    indexes = mapping.limit(MAX_GROUP_TYPES).agg(
         F.map_from_entries(F.collect_list(F.struct("group_type", F.col("type_index").cast("string")))).alias("_types")
     )
     valid = F.map_filter(
         F.coalesce(groups, empty_map()), lambda t, k: k.isNotNull() & (k != "") & (F.length(k) <= MAX_KEY) & F.map_contains_key("_types", t)
     )
     stamped = F.transform_keys(valid, lambda t, _: F.concat(F.lit("$group_"), F.try_element_at("_types", t)))
-    return df.join(F.broadcast(indexes)).withColumn(properties, F.map_concat(properties, stamped)).drop("_types")
+    return with_row(df, indexes).withColumn(properties, F.map_concat(properties, stamped)).drop("_types")
 
 
 def merge_envelope_groups(envelope: Column, event: Column) -> Column:
@@ -213,7 +213,7 @@ def list_groups(groups: DataFrame, index: int, search: str | None = None, limit:
         needle = search.lower()
         out = out.filter(F.lower("group_key").contains(needle) | F.lower(F.to_json("properties")).contains(needle))
     total = out.agg(F.count("*").alias("total"))
-    return page(out, [F.col("group_key")], limit, offset).join(F.broadcast(total))
+    return with_row(page(out, [F.col("group_key")], limit, offset), total)
 
 
 # People lists.
@@ -239,7 +239,7 @@ def list_people(
         out = out.join(members.select("visitor_id").distinct(), "visitor_id", "left_semi")
     direction, column = PEOPLE_ORDERS[order]
     total = out.agg(F.count("*").alias("total"))
-    return page(out, [direction(column), F.col("visitor_id")], limit, offset).join(F.broadcast(total))
+    return with_row(page(out, [direction(column), F.col("visitor_id")], limit, offset), total)
 
 
 def person_details(
@@ -291,7 +291,7 @@ def accounts_as_groups(accounts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Account profiles carried over as groups of the account type."""
     side = mapping.filter(F.col("group_type") == "account").select("type_index")
     named = F.when(F.col("name").isNotNull(), F.create_map(F.lit("name"), F.col("name")))
-    return accounts.join(F.broadcast(side)).select(
+    return with_row(accounts, side.limit(1)).filter(F.col("type_index").isNotNull()).select(
         "type_index", F.col("account_id").alias("group_key"),
         F.map_concat(F.coalesce(named, empty_map()), F.coalesce("traits", empty_map())).alias("properties"),
     )

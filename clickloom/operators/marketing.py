@@ -53,8 +53,8 @@ def campaign_stats(
 
 def _campaign_uniques(tagged: DataFrame, daily: DataFrame, span: Span, keys: list[str]) -> DataFrame:
     raw = span.raw(tagged).groupBy(*keys).agg(F.count_distinct("visitor_id").alias("visitors"))
-    floor = F.broadcast(raw_floor(tagged).select(F.to_date("floor").alias("floor_day")))
-    old = span.days(daily).join(floor, F.col("date") < F.col("floor_day"))
+    floor = raw_floor(tagged).select(F.to_date("floor")).scalar()
+    old = span.days(daily).filter(F.col("date") < floor)
     old = old.groupBy(*keys).agg(F.sum("visitors").alias("visitors"))
     return raw.unionByName(old).groupBy(*keys).agg(F.sum("visitors").alias("visitors"))
 

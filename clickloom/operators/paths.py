@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.props import FilterGroup, PropertyFilter, and_filters, group_predicate
 from clickloom.functions.stats import percent
@@ -176,5 +176,5 @@ def page_flows(
     moves = near.select(F.col(ends[0]).alias("from_path"), F.col(ends[1]).alias("to_path"))
     counts = moves.groupBy("from_path", "to_path").agg(F.count("*").alias("transitions"))
     head = page(counts, [F.desc("transitions"), F.col("from_path"), F.col("to_path")], limit)
-    whole = Window.partitionBy()  # at most the listed flows
-    return head.withColumn("percentage", percent(F.col("transitions"), F.sum("transitions").over(whole)))
+    total = head.agg(F.sum("transitions")).scalar()
+    return head.withColumn("percentage", percent(F.col("transitions"), total))

@@ -82,15 +82,17 @@ def error_groups(errors: DataFrame, source_maps: DataFrame, span: Span, limit: i
 def match_source_maps(errors: DataFrame, source_maps: DataFrame) -> DataFrame:
     """Each error with the newest map whose URL ends its file name.
 
-    Matching runs on distinct file names against the newest map per URL, so
-    the number of errors does not multiply.
+    Every ending of a distinct file name meets the maps by equality, so no file
+    is compared with all maps of its release.
     """
     maps = source_maps.groupBy("release", "environment", "minified_url").agg(
         F.max(F.struct("created_at", "map_id")).alias("_map")
     )
     env = F.coalesce("environment", F.lit("production"))
     files = errors.filter(F.col("filename").isNotNull()).select("release", env.alias("environment"), "filename").distinct()
-    best = files.join(maps, ["release", "environment"]).filter(F.col("filename").endswith(F.col("minified_url")))
+    endings = F.transform(F.sequence(F.lit(1), F.length("filename")), lambda i: F.col("filename").substr(i, F.length("filename")))
+    ended = files.filter("filename <> ''").withColumn("minified_url", F.explode(endings))
+    best = ended.join(maps, ["release", "environment", "minified_url"])
     best = best.groupBy("release", "environment", "filename").agg(F.max("_map").alias("_map"))
     side = best.select(F.col("release").alias("_r"), F.col("environment").alias("_e"), F.col("filename").alias("_f"), F.col("_map.map_id").alias("source_map_id"))
     on = (F.col("release") == F.col("_r")) & (env == F.col("_e")) & (F.col("filename") == F.col("_f"))

@@ -12,6 +12,7 @@ from clickloom.functions.props import any_of
 from clickloom.functions.stats import percent, percent_change, ratio
 from clickloom.operators.rollups import device_keys, rounded
 from clickloom.operators.trends import page
+from clickloom.plans.small import with_row
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,9 @@ def raw_floor(df: DataFrame, ts: str = "created_at") -> DataFrame:
 def unique_visitors(pageviews: DataFrame, daily: DataFrame, span: Span) -> DataFrame:
     """Exact uniques of the retained raw rows plus summed daily uniques of older days."""
     raw = span.raw(pageviews).agg(F.count_distinct("visitor_id").alias("n"))
-    floor = raw_floor(pageviews).select(F.to_date("floor").alias("floor_day"))
+    floor = raw_floor(pageviews).select(F.to_date("floor")).scalar()
     start, end = F.to_date(instant(span.start)), F.to_date(instant(span.end))
-    old = daily.join(F.broadcast(floor), (F.col("date") >= start) & (F.col("date") <= end) & (F.col("date") < F.col("floor_day")))
+    old = daily.filter((F.col("date") >= start) & (F.col("date") <= end) & (F.col("date") < floor))
     return raw.unionByName(old.agg(F.coalesce(F.sum("visitors"), F.lit(0)).alias("n"))).agg(F.sum("n").alias("visitors"))
 
 
@@ -81,7 +82,7 @@ def stats_with_previous(
     out = None
     for name, span in spans.items():
         stats = period_stats(pageviews, sessions, daily, span)
-        row = stats.join(events_count(events, daily_events, span)).select(  # two single rows
+        row = with_row(stats, events_count(events, daily_events, span)).select(
             F.lit(name).alias("period"), "pageviews", "visitors", "sessions", "events",
             percent(F.col("bounces"), F.col("sessions")).alias("bounce_rate"),
             (ratio(F.col("total_duration_ms"), F.col("sessions")) / 1000).alias("avg_duration"),
@@ -239,7 +240,7 @@ def family_stats(pageviews: DataFrame, sessions: DataFrame, daily_pages: DataFra
     )
     views = F.col("v0") + F.col("v1")
     weighted = (F.col("d0") * F.col("v0") + F.col("d1") * F.col("v1")) / views
-    return past.join(today).join(entries).select(  # three single rows
+    return with_row(past, today, entries).select(
         views.alias("views"), (F.col("u0") + F.col("u1")).alias("visitors"),
         F.when(views > 0, weighted).otherwise(0.0).alias("avg_duration_ms"),
         percent(F.col("b"), F.col("n")).alias("bounce_rate"),
@@ -290,7 +291,7 @@ def overview(current: DataFrame, previous: DataFrame, pages: DataFrame) -> DataF
     """
     before = previous.select(F.col("pageviews").alias("before"))
     top = pages.agg(F.max("views").alias("top"), F.sum("views").alias("all_views"))
-    row = current.join(before).join(top)  # three single rows
+    row = with_row(current, before, top)
     change = percent_change(F.col("pageviews"), F.col("before"))
     bounce = percent(F.col("bounces"), F.col("sessions"))
     share = percent(F.col("top"), F.coalesce("all_views", F.lit(0)))

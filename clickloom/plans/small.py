@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -14,3 +16,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     without a hint, so the join shuffles and adaptive execution splits skew.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def with_row(df: DataFrame, *rows: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Add the columns of one-row aggregates to every row, as scalar subqueries."""
+    for row in rows:
+        names = [c for c in row.columns if only is None or c in only]
+        value = row.select(F.struct(*names).alias("_row")).scalar()
+        df = df.withColumn("_row", value).select(*df.columns, *[F.col("_row")[n].alias(n) for n in names])
+    return df

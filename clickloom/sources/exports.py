@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clickloom.functions.calendar import instant
 from clickloom.operators import marketing, reports
 from clickloom.operators.reports import Span
+from clickloom.plans.small import with_row
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
@@ -25,7 +26,7 @@ def stats_rows(pageviews: DataFrame, sessions: DataFrame, daily: DataFrame, span
     visits = span.fresh(sessions, "first_at").agg(
         F.count_if("is_bounce").alias("bounces"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("total_duration_ms")
     )
-    today = views.join(visits).withColumn("date", F.to_date(F.lit(span.today)))  # two single rows
+    today = with_row(views, visits).withColumn("date", F.to_date(F.lit(span.today)))
     return past.unionByName(today.filter(F.to_date(instant(span.end)) >= F.col("date")))
 
 
@@ -63,7 +64,7 @@ def report_payload(
     daily_referrers: DataFrame, span: Span,
 ) -> DataFrame:
     """``section, name, value`` rows of one report: totals, top 5 pages and referrers."""
-    stats = reports.period_stats(pageviews, sessions, daily, span).join(reports.events_count(events, daily_events, span))
+    stats = with_row(reports.period_stats(pageviews, sessions, daily, span), reports.events_count(events, daily_events, span))
     totals = stats.select(
         F.explode(
             F.array(*[F.struct(F.lit("totals").alias("section"), F.lit(n).alias("name"), F.col(n).cast("long").alias("value"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from clickloom.operators import experiments, governance, identity, rollups
 from clickloom.operators.alerts import OPERATORS, Rule
 from clickloom.operators.privacy import PrivacySettings
+from clickloom.plans.small import with_row
 from clickloom.session import new_folder
 from clickloom.sources import ingest, tables
 
@@ -112,7 +113,7 @@ def fire_rule(windows: DataFrame, rule: Rule, last: DataFrame) -> DataFrame:
         free = (F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= wait)
         return F.when(free, F.concat(acc, F.array(t))).otherwise(acc)
 
-    fired = listed.join(last).select(F.slice(F.aggregate("ts", start, walk), F.size(start) + 1, F.size("ts")).alias("f"))  # two single rows
+    fired = with_row(listed, last).select(F.slice(F.aggregate("ts", start, walk), F.size(start) + 1, F.size("ts")).alias("f"))
     return fired.select(F.explode("f").alias("t")).select(F.lit(rule.rule_id).alias("rule_id"), F.timestamp_seconds("t").alias("triggered_at"))
 
 
