@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -103,6 +103,11 @@ def compare(text: Column, operator: str, value: Any) -> Column:
     raise ValueError(f"unknown operator {operator!r}")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def all_of(columns: Iterable[Column]) -> Column:
     return reduce(and_, columns, F.lit(True))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.calendar import instant
+from clickloom.functions.props import bind
 from clickloom.operators.trends import page
 from clickloom.plans.small import broadcast_if_small, with_row
 
@@ -87,7 +88,7 @@ def validate_events(events: DataFrame, schemas: DataFrame, mode: str = "observe"
 
     rules = F.coalesce("_rules", F.array().cast("array<struct<field:string,type:string,required:boolean>>"))
     # The document is bound to a lambda variable, so each payload is parsed once.
-    entries = F.get(F.transform(F.array(root), with_values), F.lit(0))
+    entries = bind(root, with_values)
     unknown = F.when(F.col("_status").isNull(), violation("unknown_event", none, none, none))
     unapproved = F.when(F.col("_status") != "approved", violation("unapproved_event", none, none, none))
     found = F.array_compact(

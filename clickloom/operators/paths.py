@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.functions.props import FilterGroup, PropertyFilter, and_filters, group_predicate
+from clickloom.functions.props import FilterGroup, PropertyFilter, and_filters, bind, group_predicate
 from clickloom.functions.stats import percent
 from clickloom.operators.trends import in_range, page
 from clickloom.plans.ordered import MAX_ROWS, Following, Previous, Running, Timeline
@@ -53,12 +54,17 @@ def _cut(item: Column) -> Column:
     return F.when(F.octet_length(item) > MAX_ITEM_BYTES, F.regexp_replace(head, "�+$", "")).otherwise(item)
 
 
+def _replacement(pattern: str, alias: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.rlike(pattern), bind(F.regexp_replace(x, pattern, alias), _cut)).otherwise(x)
+
+
 def clean_item(item: Column, rules: tuple[tuple[str, str], ...], groupings: tuple[str, ...]) -> Column:
     """All replacement rules in order, then the first wildcard that matches."""
     for pattern, alias in rules:
-        item = F.when(item.rlike(pattern), _cut(F.regexp_replace(item, pattern, alias))).otherwise(item)
-    named = [F.when(item.rlike(wildcard_pattern(g)), F.lit(g)) for g in groupings]
-    return F.coalesce(*named, item) if named else item
+        item = bind(item, _replacement(pattern, alias))
+    if not groupings:
+        return item
+    return bind(item, lambda x: F.coalesce(*[F.when(x.rlike(wildcard_pattern(g)), F.lit(g)) for g in groupings], x))
 
 
 def path_items(ev: DataFrame, q: PathsQuery) -> DataFrame:

@@ -20,6 +20,20 @@ def test_append_and_pruned_read(spark, demo, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan
 
 
+def test_filters_and_columns_reach_the_scan(spark, demo, tmp_path):
+    from clickloom.operators.trends import Series, TrendsQuery, run_period
+    from clickloom.sources.event_stream import PAGEVIEW, event_stream
+
+    demo.flat_pageviews.write.parquet(str(tmp_path / "pv"))
+    pv = spark.read.parquet(str(tmp_path / "pv"))
+    stream = event_stream(pv, demo.flat_events, names=[PAGEVIEW])
+    daily = run_period(stream, TrendsQuery((Series(PAGEVIEW, "dau"),), "2024-01-05", "2024-01-08"))
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan and "LessThan(created_at" in plan
+    assert "ReadSchema: struct<visitor_id:string,created_at:timestamp>" in plan
+    assert "events.parquet" not in plan
+
+
 def test_rollup_overwrite_keeps_other_days(spark, demo, tmp_path):
     path = str(tmp_path / "daily")
     first = rollups.daily_events(demo.flat_events)
