@@ -12,7 +12,7 @@ MOST = 2.0  # copies of a document, and with that of a source
 SHARE = 1.5  # tokens of the mix per token of the corpus
 CYCLE = (5, 2, 1)  # weights of the sources in the order of their names
 ROUNDS = 40  # Newton steps at most; five or six are usual
-CLOSE = 1e-9
+CLOSE = 2e-6  # relative gap of a solved source, just above what rounded rates leave
 UNIT = 1_000_000  # rates are whole millionths of a copy, so that running sums are exact
 REPAIRS = 4
 
@@ -61,21 +61,21 @@ def balanced_rates(cells: DataFrame, targets: DataFrame, most: float = MOST, rou
     state = targets.join(scale, F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "total", "target", F.greatest("mean", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("multiplier"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"),
     )
-    x = F.col("size") / F.col("scale")
-    tokens = F.col("n") * F.col("size") * rate(F.col("size"), most)
-    free = rate(F.col("size"), most) < most
+    units = F.round(rate(F.col("size"), most) * UNIT)
+    tokens = (F.col("n") * F.col("size") * units.cast("long")).cast("decimal(38,0)")  # sums are exact in any order
+    inner = F.when(units < most * UNIT, tokens * F.col("size").cast("decimal(18,0)")).otherwise(F.lit(0))
     state = cut_lineage(state.withColumn("done", (F.col("target") <= 0) | (F.col("target") >= most * F.col("total"))))
     for _ in range(rounds):
         sides = cells.withColumnRenamed("source", "s").join(state.filter("not done"), F.col("s").eqNullSafe(F.col("source")))
-        sums = sides.groupBy("s").agg(F.sum(tokens).alias("value"), F.sum(F.when(free, tokens * x).otherwise(0.0)).alias("slope"))
+        sums = sides.groupBy("s").agg((F.sum(tokens) / UNIT).cast("double").alias("value"), (F.sum(inner.cast("decimal(38,0)")) / UNIT).cast("double").alias("bend"))
         step = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
         gap = F.col("value") - F.col("target")
         lo = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("hi"))
-        newton = F.col("multiplier") - gap / F.when(F.col("slope") > 0, F.col("slope"))
+        newton = F.col("multiplier") - gap * F.col("scale") / F.when(F.col("bend") > 0, F.col("bend"))
         middle = F.when(lo < -1e5, F.col("multiplier") * 2 - 1).when(hi > 1e5, F.col("multiplier") * 2 + 1).otherwise((lo + hi) / 2)
         moved = F.when((newton > lo) & (newton < hi), newton).otherwise(middle)
-        finished = F.col("done") | (F.abs(gap) <= CLOSE * F.col("target"))
+        finished = F.col("done") | (F.abs(gap) <= F.greatest(CLOSE * F.col("target"), F.lit(1e-3)))
         state = cut_lineage(
             step.select("source", "total", "target", "scale", F.when(finished, F.col("multiplier")).otherwise(moved).alias("multiplier"), F.coalesce(lo, F.col("lo")).alias("lo"), F.coalesce(hi, F.col("hi")).alias("hi"), finished.alias("done"))
         )
@@ -108,7 +108,7 @@ def mix(documents: DataFrame, share: float = SHARE, most: float = MOST, cycle: t
     targets = source_targets(cyclic_weights(sources, cycle), share, most)
     rates = balanced_rates(cells, targets, most).withColumnRenamed("source", "s")
     rated = rows.join(rates, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", F.col("total").alias("source_size"), "target", rate(F.col("size"), most).alias("rate")
+        "doc_id", "source", "size", F.col("total").alias("source_size"), "target", (F.round(rate(F.col("size"), most) * UNIT) / UNIT).alias("rate")
     )
     units = F.round(F.col("rate") * UNIT).cast("long")
     ordered = rated.select("*", units.alias("units"), F.col("source").isNull().alias("last"), (-F.col("size")).alias("down"), F.xxhash64("doc_id").alias("place"))

@@ -8,6 +8,8 @@ from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.jaccard_join import jaccard_components
 from clickloom.llm.mixing import mix
 from clickloom.llm.quality import quality_rules, target_weights, trusted_ids
+from clickloom.llm.queries import tokenizer_path
+from clickloom.llm.records import read_records, write_records
 from clickloom.session import configure, new_folder
 
 #: No SQL: the mixing stage iterates and the last stage runs a tokenizer.
@@ -42,7 +44,18 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
-STAGES = [("quality_rules", quality_stage), ("jaccard_join", near_copy_stage), ("decontamination", benchmark_stage), ("source_mixing", mixing_stage)]
+def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token records of the mix, as read back from the files."""
+    return read_records(write_records(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", near_copy_stage),
+    ("decontamination", benchmark_stage),
+    ("source_mixing", mixing_stage),
+    ("binary_records", records_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
