@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from clickloom.llm.packed import PACKED, chunks, listed, packed, unpacked, windows
 
 WIDTH = 20
+RANGE_BYTES = 16_000_000  # text per range of hashes; larger ranges need more memory, smaller ones repeat document ids more often
 NO_ID = -(2**63)
 LISTS = "id bigint, every array<bigint>, later array<bigint>"
 KEPT = "doc_id bigint, n_words bigint, n_removed bigint, intervals array<struct<start:bigint,end:bigint>>, kept string"
@@ -106,11 +107,10 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, buckets: int | None
     Null and empty texts have no words. Rows that share an id are read as one
     place in the order: they do not remove windows from each other, only from
     themselves and larger ids. Null ids come first and are one such place. Ids
-    are cast to long. ``buckets`` should grow with the corpus (default: the
-    session's shuffle partitions).
+    are cast to long. The number of ``buckets`` follows the bytes of text, so
+    that a range and what it reports do not depend on the session's settings.
     """
-    spark = documents.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 1 + (documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // RANGE_BYTES
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     ranges = rows.mapInArrow(_pack(buckets, width), PACKED)
     found = ranges.groupBy("bucket").applyInArrow(_repeated, LISTS)
