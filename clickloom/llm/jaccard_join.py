@@ -108,7 +108,7 @@ def index_keys(sets: DataFrame) -> DataFrame:
     pairs = F.zip_with(frequent, F.slice(frequent, 2, F.greatest(longer - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     reached = F.when(short > F.size("rare"), F.filter(pairs, lambda x: x.isNotNull())).otherwise(F.array().cast("array<bigint>"))
     singles = F.slice("rare", 1, F.greatest(short, F.lit(0)))
-    return sets.select(F.explode(F.concat(singles, reached)).alias("token"), "key", "n").distinct()
+    return sets.select(F.explode(F.array_distinct(F.concat(singles, reached))).alias("token"), "key", "n")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,12 +124,10 @@ def close(n: str, m: str) -> Column:
 
 
 def star_pairs(index: DataFrame) -> DataFrame:
-    """Every member of a token against two pivots of the token: linear in the index, whatever the group."""
-    pick = lambda order: F.min(F.struct(order.alias("by"), "key", "n"))
-    pivots = index.groupBy("token").agg(pick(F.xxhash64("key")).alias("p"), pick(F.col("n")).alias("q"))
-    one = lambda c: pivots.select(F.col("token").alias("at"), F.col(f"{c}.key").alias("pivot"), F.col(f"{c}.n").alias("m"))
-    both = one("p").union(one("q")).distinct()
-    met = index.join(both, F.col("token") == F.col("at")).filter((F.col("key") != F.col("pivot")) & close("n", "m"))
+    """Every member of a token against one pivot of the token: linear in the index, whatever the group."""
+    picked = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("key").alias("by"), "key", "n")).alias("p"))
+    pivots = picked.select(F.col("token").alias("at"), F.col("p.key").alias("pivot"), F.col("p.n").alias("m"))
+    met = index.join(pivots, F.col("token") == F.col("at")).filter((F.col("key") != F.col("pivot")) & close("n", "m"))
     return met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
@@ -223,7 +221,7 @@ def _compare(table: pa.Table) -> pa.Table:
 def set_components(sets: DataFrame) -> DataFrame:
     """``node, component`` over the sets that have a link.
 
-    Members of a token are first compared with pivots, so that a large group of
+    Members of a token are first compared with a pivot, so that a large group of
     near copies becomes one component at linear cost. Tokens that still span
     components are compared in full: small ones as pairs, large ones in blocks
     of the clusters that they connect. No link between components can be
