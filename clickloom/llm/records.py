@@ -26,7 +26,7 @@ from clickloom.session import cut_lineage, new_folder
 
 END_ID = 2
 NO_ID = -(2**63)  # stands for a null document id
-CACHED = 300_000  # encoded pieces that a worker remembers at most
+CACHED = 1_500_000  # encoded pieces that a worker remembers at most, some 200 bytes each
 READ_BYTES = 8_000_000
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8")])
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
