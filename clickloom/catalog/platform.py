@@ -92,11 +92,20 @@ def _(m):
 
 @query("SRC03_batch_outcomes", f"WITH {_BROKEN} SELECT event_id // 20 AS batch_id, count(*) AS total, count(*) FILTER (WHERE outcome = 'tracked') AS tracked, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM outc GROUP BY 1")
 def _(m):
-    batches = _envelopes(m, broken=True).groupBy(F.floor(F.col("event_id") / 20).alias("batch_id"), "received_at").agg(
+    return _batch_totals(_envelopes(m, broken=True).withColumn("batch_id", F.floor(F.col("event_id") / 20)))
+
+
+def _batch_totals(lines):
+    batches = lines.groupBy("batch_id", "received_at").agg(
         F.concat(F.lit('{"events": ['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    items = G.batch_items(batches)
-    parsed = G.with_outcome(G.parse(items.withColumn("value", F.coalesce("value", F.lit("")))))
-    return G.batch_totals(parsed.join(items.select("batch_id", F.col("value").alias("raw")), "raw"))
+    items = G.batch_items(batches).withColumn("value", F.coalesce("value", F.lit("")))
+    return G.batch_totals(G.with_outcome(G.parse(items)))
+
+
+@query("SRC03_large_batches", f"WITH {_BROKEN}, twice AS (SELECT event_id // 500 AS batch_id, outcome FROM outc UNION ALL SELECT 1000000 + event_id // 500, outcome FROM outc) SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE outcome = 'tracked') AS tracked, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM twice GROUP BY 1")
+def _(m):
+    lines = _envelopes(m, broken=True).withColumn("batch_id", F.floor(F.col("event_id") / 500))
+    return _batch_totals(lines.union(lines.withColumn("batch_id", F.col("batch_id") + 1_000_000)))
 
 
 @query("SRC04_flush_quarantine", f"WITH {_BROKEN} SELECT reason, count(*) AS n FROM outc WHERE outcome = 'failed' GROUP BY 1")

@@ -140,16 +140,16 @@ def _ranged(df: DataFrame, dataset: str, start: str, end: str) -> DataFrame:
 
 def visual_query(
     df: DataFrame, dataset: str, dimensions: Sequence[str], metrics: Sequence[str | Metric], start: str, end: str,
-    policies: Sequence[Policy] = (), limit: int | None = 1000, totals: str | None = None,
+    policies: Sequence[Policy] = (), limit: int | None = None, totals: str | None = None,
 ) -> DataFrame:
-    """Metrics by up to five dimensions, largest first metric first.
+    """Metrics by any number of dimensions, largest first metric first; all rows unless a page of ``limit`` is asked for.
 
     ``totals`` may be ``rollup`` or ``cube`` to add subtotals.
     """
     if dataset not in DIMENSIONS:
         raise ValueError(f"unknown dataset {dataset!r}")
     try:
-        groups = [DIMENSIONS[dataset][d]().alias(d) for d in dimensions[:5]]
+        groups = [DIMENSIONS[dataset][d]().alias(d) for d in dimensions]
         wanted = list(metrics) or ["count"]
         values = [
             m.column().alias(m.name) if isinstance(m, Metric) else METRICS[dataset][m]().alias(m) for m in wanted
@@ -160,17 +160,15 @@ def visual_query(
     by = rows.rollup(*groups) if totals == "rollup" else rows.cube(*groups) if totals == "cube" else rows.groupBy(*groups)
     out = by.agg(*values)
     first = wanted[0].name if isinstance(wanted[0], Metric) else wanted[0]
-    order = [F.desc(first), *[F.col(d) for d in dimensions[:5]]]
+    order = [F.desc(first), *[F.col(d) for d in dimensions]]
     return out.orderBy(*order).limit(limit) if limit and dimensions else out
 
 
 def drill_through(
-    df: DataFrame, dataset: str, filters: dict, start: str, end: str, policies: Sequence[Policy] = (), limit: int | None = 1000,
+    df: DataFrame, dataset: str, filters: dict, start: str, end: str, policies: Sequence[Policy] = (), limit: int | None = None,
     sessions: DataFrame | None = None,
 ) -> DataFrame:
     """The rows behind a number, newest first; views take device and place from their session."""
-    if len(filters) > 10:
-        raise ValueError("at most 10 filters")
     if dataset == "pageviews" and sessions is not None:
         side = sessions.select("session_id", "browser", "os", "device_type", "country")
         df = df.join(side, "session_id", "left")

@@ -14,7 +14,6 @@ from clickloom.operators.trends import in_range, page
 from clickloom.plans.ordered import MAX_ROWS, Following, Previous, Running, Timeline
 from clickloom.sources.event_stream import PAGEVIEW
 
-MAX_ITEM_BYTES = 2048
 
 
 @dataclass(frozen=True)
@@ -48,14 +47,8 @@ def wildcard_pattern(text: str) -> str:
     return "^" + ".*".join(re.escape(part) for part in text.split("*")) + "$"
 
 
-def _cut(item: Column) -> Column:
-    """At most 2048 bytes, never half a character."""
-    head = F.decode(F.substring(F.encode(item, "UTF-8"), 1, MAX_ITEM_BYTES), "UTF-8")
-    return F.when(F.octet_length(item) > MAX_ITEM_BYTES, F.regexp_replace(head, "�+$", "")).otherwise(item)
-
-
 def _replacement(pattern: str, alias: str) -> Callable[[Column], Column]:
-    return lambda x: F.when(x.rlike(pattern), bind(F.regexp_replace(x, pattern, alias), _cut)).otherwise(x)
+    return lambda x: F.when(x.rlike(pattern), F.regexp_replace(x, pattern, alias)).otherwise(x)
 
 
 def clean_item(item: Column, rules: tuple[tuple[str, str], ...], groupings: tuple[str, ...]) -> Column:

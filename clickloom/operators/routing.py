@@ -20,7 +20,7 @@ def normalize_event_type(raw: Column) -> Column:
     spaced = F.regexp_replace(F.trim(raw), r"[\s/\\]", "_")
     kept = F.regexp_replace(spaced, r"[^A-Za-z0-9_.:-]", "")
     single = F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^_", "")
-    cut = F.regexp_replace(F.substring(F.lower(single), 1, 128), "^_+|_+$", "")
+    cut = F.regexp_replace(F.lower(single), "^_+|_+$", "")
     return F.when(cut != "", cut).otherwise(DEFAULT_EVENT)
 
 

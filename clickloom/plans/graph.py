@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickloom.session import cut_lineage
 
-MAX_ROUNDS = 64
-
 
 def resolve_chains(links: DataFrame, source: str = "from_id", target: str = "to_id") -> DataFrame:
-    """The final target of every source; each round doubles the followed length."""
+    """The final target of every source; each round doubles the followed length.
+
+    No chain is longer than the number of links, so one that still moves after
+    as many rounds as that number has bits runs in a cycle.
+    """
     now = cut_lineage(links.select(source, target))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(now.count().bit_length() + 1):
         step = now.select(F.col(source).alias("_mid"), F.col(target).alias("_far"))
         moved = now.join(step, now[target] == step["_mid"], "left")
         after = cut_lineage(
@@ -28,12 +30,13 @@ def connected_components(edges: DataFrame, a: str = "source", b: str = "target")
     """``node, component`` with the smallest node id of each component.
 
     Every round takes the smallest label among the neighbours, pre-aggregated
-    before the shuffle, and then follows the label's own label.
+    before the shuffle, and then follows the label's own label. Labels only
+    fall, so the rounds end by themselves, however many a graph needs.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("near"))
     both = cut_lineage(pairs.union(pairs.select("near", "node")).distinct())
     labels = cut_lineage(both.select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         best = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(
             F.min("component").alias("_best")
         )
@@ -47,4 +50,3 @@ def connected_components(edges: DataFrame, a: str = "source", b: str = "target")
         labels = after.select("node", "component")
         if after.filter("_moved").limit(1).count() == 0:
             return labels
-    raise ValueError("components did not settle")

@@ -15,7 +15,6 @@ TARGETS = {
     "search_query": "search_queries", "outlink": "outlinks", "js_error": "js_errors", "log": "log_entries",
     "click_event": "click_events", "survey_response": "survey_responses", "session_replay": "session_replays",
 }
-MAX_BATCH = 100
 
 ENVELOPE = """type string, timestamp bigint, project_id string, visitor_id string, session_id string, user_agent string,
  dnt boolean, consent_mode string, consent_granted boolean, groups map<string,string>, path string, title string, referrer string,
@@ -28,10 +27,16 @@ ENVELOPE = """type string, timestamp bigint, project_id string, visitor_id strin
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Envelope columns, the event time (client time, else arrival) and the raw text."""
-    rows = lines.select(F.col(column).alias("raw"), "received_at", F.from_json(column, ENVELOPE).alias("e"))
-    at = F.coalesce(F.timestamp_millis("timestamp"), F.col("received_at"))
-    return rows.select("raw", "received_at", "e.*").withColumn("created_at", at)
+    """Envelope columns, the event time (client time, else arrival), the raw text and all other columns of ``lines``.
+
+    A column of ``lines`` that is named like an envelope field stays under ``line.``.
+    """
+    others = [c for c in lines.columns if c not in (column, "received_at")]
+    rows = lines.select(F.col(column).alias("raw"), "received_at", *others, F.from_json(column, ENVELOPE).alias("_e"))
+    fields = rows.schema["_e"].dataType.names
+    carried = [F.col(c).alias(f"line.{c}" if c in fields else c) for c in others]
+    at = F.coalesce(F.timestamp_millis("_e.timestamp"), F.col("received_at"))
+    return rows.select("raw", "received_at", *carried, "_e.*", at.alias("created_at"))
 
 
 def with_outcome(envelopes: DataFrame, settings: PrivacySettings = PrivacySettings()) -> DataFrame:
@@ -48,11 +53,16 @@ def with_outcome(envelopes: DataFrame, settings: PrivacySettings = PrivacySettin
     return envelopes.withColumn("outcome", outcome).withColumn("reason", F.coalesce(failed, skipped))
 
 
-def batch_items(batches: DataFrame, column: str = "value") -> DataFrame:
-    """One line per item of a batch envelope with its position; oversized batches give one failed line."""
+def batch_items(batches: DataFrame, column: str = "value", largest: int | None = None) -> DataFrame:
+    """One line per item of a batch envelope, told apart by ``batch_id`` and ``position``.
+
+    Every item is kept whatever the size of its batch. With ``largest``, a
+    larger batch is refused as a whole: one line without a value. An empty or
+    unreadable batch is such a line as well.
+    """
     items = F.from_json(F.coalesce(F.get_json_object(column, "$.events"), F.get_json_object(column, "$.batch")), "array<string>")
     sized = batches.withColumn("_items", items)
-    fits = F.size("_items").between(1, MAX_BATCH)
+    fits = F.size("_items") >= 1 if largest is None else F.size("_items").between(1, largest)
     return sized.select(
         "batch_id", "received_at", F.posexplode(F.when(fits, F.col("_items")).otherwise(F.array(F.lit(None).cast("string")))).alias("position", "value")
     )

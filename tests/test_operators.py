@@ -58,7 +58,7 @@ def test_channels(spark):
 
 
 def test_event_types(spark):
-    for text, want in (("Stripe/Checkout Session.Completed", "stripe_checkout_session.completed"), (" !!! ", "webhook_event"), ("x" * 200, "x" * 128)):
+    for text, want in (("Stripe/Checkout Session.Completed", "stripe_checkout_session.completed"), (" !!! ", "webhook_event"), ("x" * 200, "x" * 200)):
         assert one(spark, routing.normalize_event_type(F.lit(text))) == want
     assert one(spark, routing.event_type(F.lit('{"name": "Lead Created"}'))) == "lead_created"
     assert one(spark, routing.event_type(F.lit('{"type": 5, "name": "x"}'))) == "webhook_event"
@@ -153,7 +153,7 @@ def test_path_cleaning(spark):
     assert clean("/a.b?/x", (), ("/a.b?/*",)) == "/a.b?/*"
     assert clean("/aXb?/x", (), ("/a.b?/*",)) == "/aXb?/x"
     long = clean("é" * 3000, (("é$", "ée"),), ())
-    assert len(long.encode()) <= 2048 and set(long) == {"é"}
+    assert long == "é" * 3000 + "e"
 
 
 def test_smoothing_and_cumulative(spark):
