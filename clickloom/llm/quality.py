@@ -113,8 +113,7 @@ def quality_rules(
     repeated = F.when(again, let(joined(F.col("__four"), 4), lambda x: repeated_words(x, 8))).otherwise(zero)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    judged = fours.select(
-        *kept,
+    figures = F.struct(
         size.cast("long").alias("n_words"),
         F.char_length(without(text, SPACES)).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -122,6 +121,8 @@ def quality_rules(
         repeated.alias("n_repeat_words"),
         (weight / grams / UNIT).alias("llr"),
     )
+    # A filter on the verdict is not pushed through a generator; through plain columns it would compute all hashes again for every use.
+    judged = fours.select(*kept, F.inline_outer(F.array(figures)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    figures = judged.withColumn("base_failed", failed)
-    return figures.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    ruled = judged.withColumn("base_failed", failed)
+    return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

@@ -136,6 +136,14 @@ def test_quality_rules(spark, docs):
     assert got.count() == len(rows) and {"size", "key", "bucket"} <= set(got.columns)
 
 
+def test_quality_filter_computes_nothing_again(spark, docs):
+    df, _ = docs
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    judged = quality_rules(df, target_weights(df, trusted_ids(labels), buckets=256), buckets=256)
+    uses = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("xxhash64")
+    assert uses(judged.filter("kept")) == uses(judged) > 0
+
+
 def test_quality_threshold_parts_labelled_documents(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
