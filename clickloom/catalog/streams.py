@@ -35,7 +35,8 @@ def _(m):
     return J.run_to_table(J.sessions(_live(m).ev, GAP), "sessions")
 
 
-@query("STR02_realtime_stream", None)
+@query("STR02_realtime_stream", f"""WITH {EV}, w AS (SELECT project_id, visitor_id, time_bucket(INTERVAL 2 HOUR, created_at) - to_hours(2 * i) AS s FROM ev CROSS JOIN range(3) t(i))
+  SELECT project_id, {ts('s')} AS window_start, count(DISTINCT visitor_id) AS visitors FROM w WHERE s + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM ev) GROUP BY project_id, s""")
 def _(m):
     return J.run_to_table(J.realtime_visitors(_live(m).ev, "6 hours", "2 hours", "0 seconds"), "realtime")
 
