@@ -46,11 +46,12 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     step = 1
     while not state.filter("up is not null").isEmpty():
         above = state.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
-        joined = state.join(above, F.col("up") == F.col("a"), "left")
+        # Rows that are done have no key; joined, they would all meet in one task.
+        joined = state.filter("up is not null").join(above, F.col("up") == F.col("a"), "left")
         state = cut_lineage(
-            joined.select(
+            state.filter("up is null").unionByName(joined.select(
                 "id", F.col("a_up").alias("up"), F.coalesce("a_root", "root").alias("root"), (F.col("depth") + F.when(F.col("a").isNotNull(), F.col("a_depth") + 1).otherwise(0)).alias("depth"), (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total")
-            )
+            ))
         )
         step *= 2
         last = hops[-1]
@@ -95,7 +96,10 @@ def format_conversations(messages: DataFrame, per_root: int = 1, loss_roles: tup
     """
     # A key of strings and a missing parent are settled first, so that every chain ends at a root.
     ids = messages.select(F.col("id").alias("known")).distinct()
-    linked = messages.join(ids, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    answers = messages.filter("parent is not null").join(ids, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"), score)
+    roots = messages.filter("parent is null").select("id", F.lit(None).cast(messages.schema["id"].dataType).alias("parent"), score)
+    linked = answers.unionByName(roots)
     paths = best_paths(linked, per_root)
     said = messages.select("id", "conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(said, "id").select("conv_id", "leaf", "rank", "depth", escaped_role(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), F.col("role").isin(*loss_roles).alias("learn"))
