@@ -13,11 +13,13 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,13 +29,13 @@ from clickloom.session import cut_lineage, new_folder
 END_ID = 2
 NO_ID = -(2**63)  # stands for a null document id
 CACHED = 1_500_000  # encoded pieces that a worker remembers at most, some 200 bytes each
+TEXTS = 2_000  # texts encoded together at most
 READ_BYTES = 8_000_000
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8")])
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 MASK = 0xA282EAD8
 
-_cache: dict[str, bytes] = {}
-_unsafe = re.compile(r"\s ")
+_unsafe = r"(?:^|[\s\pZ\x0B\x1C-\x1F\x{85}]) "
 _breaks = re.compile(r"(?<=\S)(?= )")
 
 
@@ -59,39 +61,83 @@ def unframed(data: memoryview, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + length
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(source: str):
-    from tokenizers import Tokenizer
+def _appended(values: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``values`` with ``more`` from place ``n`` on, in twice the room if it is full."""
+    if n + len(more) > len(values):
+        values = np.concatenate([values[:n], np.empty(n + 2 * len(more), values.dtype)])
+    values[n : n + len(more)] = more
+    return values
+
+
+class Pieces:
+    """Ids of all pieces met so far in one flat array; ``plain`` and ``spaced`` (behind one space) give their rows."""
+
+    def __init__(self, source: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.encode_special_tokens = True  # control strings inside a text are text
+        self.forget()
 
-    _cache.clear()
-    tokenizer = Tokenizer.from_str(source)
-    tokenizer.encode_special_tokens = True  # control strings inside a text are text
-    return tokenizer
+    def forget(self) -> None:
+        self.plain: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+        self.ids, self.ends, self.n = np.empty(0, "<u4"), np.zeros(1, np.int64), 0  # ends[0] is where row 0 begins
+
+    def rows(self, known: dict[str, int], head: str, pieces: Sequence[str]) -> np.ndarray:
+        rows = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        new = list(dict.fromkeys(pieces[i] for i in missing))
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([head + p for p in some], add_special_tokens=False)]
+            used = int(self.ends[self.n])
+            ends = used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            self.ids = _appended(self.ids, used, np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) - used))
+            self.ends = _appended(self.ends, self.n + 1, ends)
+            known.update(zip(some, range(self.n, self.n + len(some))))
+            self.n += len(some)
+        rows[missing] = [known[pieces[i]] for i in missing]
+        return rows
+
+
+@lru_cache(maxsize=1)
+def _pieces(source: str) -> Pieces:
+    return Pieces(source)
 
 
-def encode(source: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as 32-bit integers.
+def encode(source: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, as 32-bit integers, and where each text ends.
 
     A byte-level vocabulary never joins across a space that follows a visible
-    character, so texts are cut there and every distinct piece is encoded once.
+    character, so texts are cut there, every distinct piece is encoded once,
+    and the ids are gathered by piece. A null text is empty.
     """
-    tokenizer = _tokenizer(source)
-    cut = []
-    for text in texts:
-        if _unsafe.search(text) or text.startswith(" "):
-            cut.append(_breaks.split(text))
-        else:
-            first, *rest = text.split(" ")
-            cut.append([first, *[" " + piece for piece in rest]])
-    if len(_cache) > CACHED:
-        _cache.clear()
-    known = _cache
-    new = list({piece for pieces in cut for piece in pieces if piece not in known})
-    for lo in range(0, len(new), 20_000):
-        some = new[lo : lo + 20_000]
-        for piece, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[piece] = np.array(coded.ids, "<u4").tobytes()
-    return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
+    pieces = _pieces(source)
+    if pieces.n > CACHED:
+        pieces.forget()
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _unsafe).to_numpy(zero_copy_only=False)
+    cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    words, starts = cut.flatten(), cut.offsets.to_numpy()[:-1] - (cut.offsets[0].as_py() if len(cut) else 0)
+    coded = words.dictionary_encode()
+    rows = pieces.rows(pieces.spaced, " ", coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+    rows[starts] = pieces.rows(pieces.plain, "", words.take(pa.array(starts)).to_pylist())
+    n_rows = np.zeros(len(texts), np.int64)
+    n_rows[~odd] = np.diff(starts, append=len(words))
+    if odd.any():
+        # Runs of spaces are no place to cut; their texts are cut one by one and put in between.
+        lists = [_breaks.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        n_rows[odd] = [len(x) for x in lists]
+        all_rows, from_odd = np.empty(n_rows.sum(), np.int64), np.repeat(odd, n_rows)
+        all_rows[from_odd] = pieces.rows(pieces.plain, "", [p for x in lists for p in x])
+        all_rows[~from_odd] = rows
+        rows = all_rows
+    first = pieces.ends[rows]
+    lengths = pieces.ends[rows + 1] - first
+    total = np.cumsum(lengths)
+    ids = pieces.ids[np.repeat(first - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
+    return ids, np.concatenate([[0], total])[np.cumsum(n_rows)]
 
 
 def _write(folder: str, source: str, end_id: int):
@@ -100,27 +146,28 @@ def _write(folder: str, source: str, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         place, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        wide = _tokenizer(source).get_vocab_size() > 65_536 or end_id > 65_535
+        wide = _pieces(source).tokenizer.get_vocab_size() > 65_536 or end_id > 65_535
         part = TaskContext.get().partitionId()
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"  # an attempt that dies leaves a file that no manifest names
         index, offset, start = [], 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        kind, width = ("<u4", 4) if wide else ("<u2", 2)
+        end = np.array([end_id], kind).tobytes()
         stream = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 500):
-                some = [t or "" for t in texts.slice(lo, 500).to_pylist()]
+            for lo in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(lo, TEXTS)
+                coded, ends = encode(source, some.column(1))
+                data = coded.astype(kind).tobytes()
                 stream = stream or place.open_output_stream(f"{path}.records")
-                out = []
-                for doc, coded in zip(ids[lo : lo + 500], encode(source, some)):
-                    tokens = np.frombuffer(coded + end, "<u4")
+                at = 0
+                for doc, to in zip(some.column(0).to_pylist(), ends.tolist()):
                     doc = NO_ID if doc is None else doc
-                    payload = struct.pack("<qB", doc, 4 if wide else 2) + tokens.astype("<u4" if wide else "<u2").tobytes()
+                    record = framed(b"".join((struct.pack("<qB", doc, width), data[at * width : to * width], end)))
                     index.append((offset, doc, start))
-                    out.append(framed(payload))
-                    offset += len(out[-1])
-                    start += len(tokens)
-                stream.write(b"".join(out))
+                    stream.write(record)
+                    offset += len(record)
+                    start += to - at + 1
+                    at = to
         if stream is None:
             return
         stream.close()
