@@ -10,12 +10,14 @@ from clickloom.llm.text import SPACE_RUN, let, pieces, without_blank_ends
 
 BUCKETS = 16_384
 TRUSTED_ROWS = 20_000  # bound of the labelled sample that the target distribution is fitted on
+PRIOR = 16 * BUCKETS  # words and pairs of the corpus that the target is mixed with, so that little evidence gives ratios near 0
+FOLDS = 5  # parts of the trusted documents; each is scored by the counts of the other parts
 THRESHOLD = -0.06  # mean log-likelihood ratio per n-gram below which a document is rejected
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 UNIT = 1_000_000  # weights are whole millionths, so that sums do not depend on their order
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
-HELD = ("__parts", "__one", "__two", "__four")
+HELD = ("__table", "__parts", "__one", "__two", "__four")
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -35,29 +37,59 @@ def bucket_of(hash_: Column, buckets: int) -> Column:
     return F.pmod(hash_, F.lit(buckets)).cast("int")
 
 
-def target_weights(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fold_of(id_: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(folds)).cast("int")
+
+
+def target_weights(
+    documents: DataFrame,
+    trusted: DataFrame,
+    buckets: int = BUCKETS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    prior: float | None = None,
+    folds: int = 0,
+) -> DataFrame:
     """One row: ``weights``, the log ratio of target to corpus probability of every bucket.
 
     Words and word pairs of all documents are counted; those of trusted
-    documents count for the target as well. Both multinomials are smoothed by
-    one. ``trusted`` is bounded by its parameter and therefore broadcast.
+    documents count for the target as well. The corpus is smoothed by one. So
+    is the target without a ``prior``, which pulls a small one towards uniform;
+    with it, the target gets so many words and pairs spread like the corpus.
+    ``folds`` more tables follow the first, each without the trusted documents
+    of one fold. ``trusted`` is bounded by its parameter and therefore broadcast.
     """
-    marks = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__target")))
+    marks = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), fold_of(F.col("doc_id"), max(folds, 1)).alias("__fold")))
     split = documents.select(F.col(id_col).alias("__doc"), pieces(F.col(text_col), SPACE_RUN).alias("__parts"))
-    flagged = split.join(marks, F.col("__doc") == F.col("__id"), "left").select("__parts", F.coalesce("__target", F.lit(0)).alias("__target"))
-    words = flagged.select("__target", "__parts", F.posexplode_outer("__parts").alias("__at", "__word")).filter("__word != ''")
+    flagged = split.join(marks, F.col("__doc") == F.col("__id"), "left").select("__parts", F.coalesce("__fold", F.lit(-1)).alias("__fold"))
+    words = flagged.select("__fold", "__parts", F.posexplode_outer("__parts").alias("__at", "__word")).filter("__word != ''")
     follow = F.nullif(F.get("__parts", F.col("__at") + 1), F.lit(""))
-    hashed = words.select("__target", F.xxhash64("__word").alias("__hash"), F.when(follow.isNotNull(), F.xxhash64(follow)).alias("__next"))
+    hashed = words.select("__fold", F.xxhash64("__word").alias("__hash"), F.when(follow.isNotNull(), F.xxhash64(follow)).alias("__next"))
     double = F.when(F.col("__next").isNotNull(), bucket_of(F.xxhash64("__hash", "__next"), buckets))
-    grams = hashed.select("__target", F.explode_outer(F.array(bucket_of(F.col("__hash"), buckets), double)).alias("bucket")).filter("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("__target").alias("target"))
+    grams = hashed.select("__fold", F.explode_outer(F.array(bucket_of(F.col("__hash"), buckets), double)).alias("bucket")).filter("bucket is not null")
+    parts = grams.groupBy("bucket", "__fold").agg(F.count(F.lit(1)).alias("n"))
+    held = [f"held{k}" for k in range(folds)]
+    sums = [F.sum(F.when(F.col("__fold") == k, F.col("n"))).alias(name) for k, name in enumerate(held)]
+    counts = parts.groupBy("bucket").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("__fold") >= 0, F.col("n"))).alias("target"), *sums)
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    rows = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
-    gathered = filled.agg(rows.alias("rows"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    ratio = lambda r: F.log((r["target"] + 1) / (F.col("targets") + buckets)) - F.log((r["raw"] + 1) / (F.col("raws") + buckets))
-    known = F.when(F.col("targets") > 0, F.lit(1)).otherwise(F.lit(0))  # no trusted text: no verdict against anything
-    return gathered.select(F.transform("rows", lambda r: F.round(ratio(r) * UNIT).cast("long") * known).alias("weights"))
+    filled = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target", *held])
+    rows = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target", *held)))
+    totals = [F.sum(c).alias(f"all_{c}") for c in ("raw", "target", *held)]
+    gathered = filled.agg(rows.alias("rows"), *totals)
+
+    def weights(without: str | None) -> Column:
+        total = F.col("all_target") - F.col(f"all_{without}") if without else F.col("all_target")
+        known = F.when(total > 0, F.lit(1)).otherwise(F.lit(0))  # no trusted text: no verdict against anything
+
+        def weight(r: Column) -> Column:
+            share = (r["raw"] + 1) / (F.col("all_raw") + buckets)
+            n = r["target"] - r[without] if without else r["target"]
+            own = (n + 1) / (total + buckets) if prior is None else (n + prior * share) / (total + prior)
+            return F.round((F.log(own) - F.log(share)) * UNIT).cast("long") * known
+
+        return F.transform("rows", weight)
+
+    return gathered.select(F.concat(*[weights(name) for name in (None, *held)]).alias("weights"))
 
 
 def repeated_words(windows: Column, width: int) -> Column:
@@ -80,6 +112,8 @@ def quality_rules(
     buckets: int = BUCKETS,
     threshold: float = THRESHOLD,
     text_col: str = "text",
+    trusted: DataFrame | None = None,
+    id_col: str = "doc_id",
 ) -> DataFrame:
     """All columns of ``documents`` plus the rule figures, ``llr`` and the verdict ``kept``.
 
@@ -88,22 +122,33 @@ def quality_rules(
     rules. Columns of the input that are named like a result are replaced.
     ``llr`` is the mean weight of a document's words and word pairs; a text
     without words has 0. ``weights`` has one row of a fixed number of buckets.
+    With ``trusted``, its documents are scored by the table of ``weights`` that
+    is made without their fold, and so without their own counts.
     """
     outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in outputs and c not in HELD]
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A fixed number of buckets, written as one literal: subqueries may not stand in a lambda.
-    table = F.split(F.lit(" ".join(map(str, weights.first()["weights"]))), " ").cast("array<long>")
+    values = weights.first()["weights"]
+    table = F.split(F.lit(" ".join(map(str, values))), " ").cast("array<long>")
+    offset = F.lit(0)
+    if trusted is not None:
+        folds = len(values) // buckets - 1
+        if folds < 2:
+            raise ValueError("trusted documents need weights of two folds or more")
+        marks = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), ((fold_of(F.col("doc_id"), folds) + 1) * buckets).alias("__offset")))
+        documents = documents.join(marks, F.col(id_col) == F.col("__id"), "left")
+        offset = F.coalesce("__offset", F.lit(0))
 
     pair = lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))
     ahead = lambda grams, n: F.slice(grams, n + 1, F.greatest(F.size(grams) - n, F.lit(0)))
     joined = lambda grams, n: F.zip_with(F.slice(grams, 1, F.greatest(F.size(grams) - n, F.lit(0))), ahead(grams, n), pair)
-    split = documents.select(*kept, pieces(F.col(text_col), SPACE_RUN).alias("__parts"))
+    split = documents.select(*kept, offset.alias("__table"), pieces(F.col(text_col), SPACE_RUN).alias("__parts"))
     single = split.select("*", F.transform(without_blank_ends(F.col("__parts")), lambda w: F.xxhash64(w)).alias("__one"))
     double = single.select("*", joined(F.col("__one"), 1).alias("__two"))
     fours = double.select("*", joined(F.col("__two"), 2).alias("__four"))
 
-    weigh = lambda total, h: total + F.get(table, bucket_of(h, buckets))
+    weigh = lambda total, h: total + F.get(table, F.col("__table") + bucket_of(h, buckets))
     zero = F.lit(0).cast("long")
     weight = F.aggregate("__one", zero, weigh) + F.aggregate("__two", zero, weigh)
     size = F.size("__one")

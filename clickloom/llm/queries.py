@@ -12,7 +12,7 @@ from clickloom.llm.html_blocks import extract_text, fit_labeller
 from clickloom.llm.jaccard_join import jaccard_components
 from clickloom.llm.mixing import mix
 from clickloom.llm.pii import BASE as PII_KINDS, find_personal_data
-from clickloom.llm.quality import quality_rules, target_weights, trusted_ids
+from clickloom.llm.quality import FOLDS, PRIOR, quality_rules, target_weights, trusted_ids
 from clickloom.llm.records import read_records, write_records
 from clickloom.llm.secrets import KINDS as SECRET_KINDS, scan_secrets
 from clickloom.llm.substrings import remove_repeats
@@ -129,6 +129,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = target_weights(documents, trusted_ids(table(spark, sf_dir, "labels")))
-    judged = quality_rules(documents, weights)
+    trusted = trusted_ids(table(spark, sf_dir, "labels"))
+    judged = quality_rules(documents, target_weights(documents, trusted, prior=PRIOR, folds=FOLDS), trusted=trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))

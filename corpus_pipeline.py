@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.jaccard_join import jaccard_components
 from clickloom.llm.mixing import mix
-from clickloom.llm.quality import quality_rules, target_weights, trusted_ids
+from clickloom.llm.quality import FOLDS, PRIOR, quality_rules, target_weights, trusted_ids
 from clickloom.llm.queries import tokenizer_path
 from clickloom.llm.records import read_records, write_records
 from clickloom.session import configure, new_folder
@@ -18,9 +18,9 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the likelihood threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weights = target_weights(docs, trusted_ids(labels))
-    return quality_rules(docs, weights).filter("kept").select(docs.columns)
+    trusted = trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weights = target_weights(docs, trusted, prior=PRIOR, folds=FOLDS)
+    return quality_rules(docs, weights, trusted=trusted).filter("kept").select(docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

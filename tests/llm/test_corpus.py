@@ -152,6 +152,32 @@ def test_quality_threshold_parts_labelled_documents(spark):
     assert rate[1] > 0.98 and rate[0] < 0.35
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_keeps_trusted_documents_at_every_size(spark, size):
+    """Trusted documents are scored without their own counts, and few of them reject nothing that is good."""
+    folder = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = QUERIES["op10_quality_rules"](spark, folder).filter("not base_failed").join(labels, "doc_id", "left")
+    kind = F.when(F.expr("quality = 1 and coalesce(toxic, 0) = 0"), "good").when(F.col("quality") == 0, "bad").otherwise("other")
+    gone = {r.kind: r.gone for r in judged.groupBy(kind.alias("kind")).agg(F.avg((~F.col("kept")).cast("int")).alias("gone")).collect()}
+    print(size, gone)
+    assert gone["good"] <= 0.02 and gone["other"] <= 0.14 and gone["bad"] >= 0.5
+
+
+def test_quality_scores_a_trusted_document_by_other_folds(spark):
+    texts = [(i, f"{'alpha beta ' * 15}only{i} here{i}") for i in range(40)]
+    df = spark.createDataFrame([*texts, texts[3]], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    folds = {r.doc_id: r.f for r in trusted.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("f")).collect()}
+    got = {r.doc_id: r.llr for r in quality_rules(df, target_weights(df, trusted, buckets=64, prior=50, folds=4), buckets=64, trusted=trusted).collect()}
+    for fold in range(4):
+        rest = trusted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != fold)
+        alone = {r.doc_id: r.llr for r in quality_rules(df, target_weights(df, rest, buckets=64, prior=50), buckets=64).collect()}
+        assert all(got[i] == pytest.approx(alone[i], abs=1e-9) for i, f in folds.items() if f == fold)
+    full = {r.doc_id: r.llr for r in quality_rules(df, target_weights(df, trusted, buckets=64, prior=50), buckets=64).collect()}
+    assert all(got[i] == pytest.approx(full[i], abs=1e-9) for i in range(20, 40))
+
+
 def test_mix(spark, docs):
     df, rows = docs
     got = mix(df)
