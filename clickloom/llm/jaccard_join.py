@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.llm.packed import PACKED, chunks, listed, packed, unpacked, windows
 from clickloom.plans.graph import connected_components
+from clickloom.plans.small import broadcast_if_small
 from clickloom.session import cut_lineage
 
 WIDTH = 5
 COMMON = 16  # a shingle of more distinct sets than this is indexed in pairs
 SMALL = 16  # tokens of at most so many sets are compared as pairs, larger ones in blocks
 BLOCK = 256  # sets of a block
+COUNTED = 1_024  # sets of a block in which links are counted
+LOT = 1_000  # sets of small components that one call counts
 KEY = np.dtype("S16")
 SETS = f"{PACKED}, ids array<bigint>"
 FOUND = "doc_id bigint, key binary, n bigint, rare array<bigint>, common array<bigint>"
@@ -181,10 +184,8 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return full.groupBy("cluster", "left", "right").applyInArrow(_compare, "a binary, b binary")
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    keys, components, second = (table.column(c).to_pylist() for c in ("key", "component", "second"))
-    n = table.column("n").to_numpy()
-    lists = table.column("tokens").combine_chunks()
+def _alike(n: np.ndarray, lists: pa.ListArray, second: np.ndarray) -> np.ndarray:
+    """Which sets reach 3/4 with which others, as a matrix; with two sides, only sets of different sides do."""
     tokens = lists.flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
     values, at, df = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -192,15 +193,21 @@ def _compare(table: pa.Table) -> pa.Table:
     shared = np.zeros((len(n), len(n)), np.float32)
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
+    width = min(4096, len(values))
     for lo in range(0, len(values), 4096):
         i, j = np.searchsorted(at, (lo, lo + 4096))
-        part = np.zeros((len(n), 4096), np.float32)
+        part = np.zeros((len(n), width), np.float32)
         part[owner[i:j], at[i:j] - lo] = 1
         shared += part @ part.T
     alike = 100 * shared >= 75 * (n[:, None] + n[None, :] - shared)
-    side = np.array(second)
-    if side.any():
-        alike &= side[:, None] != side[None, :]
+    if second.any():
+        alike &= second[:, None] != second[None, :]
+    return alike
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    keys, components, second = (table.column(c).to_pylist() for c in ("key", "component", "second"))
+    alike = _alike(table.column("n").to_numpy(), table.column("tokens").combine_chunks(), np.array(second))
     group = {c: c for c in components}
 
     def root(c: bytes) -> bytes:
@@ -244,12 +251,63 @@ def set_components(sets: DataFrame) -> DataFrame:
     return connected_components(cut_lineage(links), "a", "b")
 
 
-def jaccard_components(documents: DataFrame, buckets: int | None = None, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_size`` for every row of ``documents``.
+def _linked_rows(table: pa.Table) -> pa.Table:
+    """``key, links`` of every set: how many rows the sets of its component hold that reach 3/4 with it, of the two blocks given."""
+    table = table.sort_by("component")
+    names = table.column("component").to_pylist()
+    n, weights = table.column("n").to_numpy(), table.column("class_size").to_numpy()
+    lists, second = table.column("tokens").combine_chunks(), table.column("second").to_numpy()
+    edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+    links = np.zeros(len(names), np.int64)
+    for i, j in zip(edges, edges[1:]):
+        alike = _alike(n[i:j], lists.slice(i, j - i), second[i:j])
+        np.fill_diagonal(alike, False)
+        links[i:j] = alike.astype(np.int64) @ weights[i:j]
+    return pa.table({"key": table.column("key"), "links": pa.array(links)})
+
+
+def link_counts(components: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, links``: rows of other sets that reach 3/4 with the set of that key.
+
+    Both sets of a link lie in one component, so all pairs of a component are
+    verified and no others. Components of at most ``COUNTED`` sets are counted
+    many at a time; a task of a larger one holds two blocks and returns one
+    count per set, so neither memory nor rows grow with the number of links.
+    """
+    members = cut_lineage(components.join(classes.select("key", "class_size"), "key"))
+    held = members.groupBy("component").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > COUNTED)
+    large = broadcast_if_small(cut_lineage(held))
+    few = members.join(large, "component", "left_anti")
+    lots = max(1, few.count() // LOT)
+    shingles = sets.select("key", "n", F.concat("rare", "common").alias("tokens"))
+    lot = few.select("key", "component", "class_size", F.lit(False).alias("second"), F.pmod(F.xxhash64("component"), F.lit(lots)).alias("lot"))
+    out = shingles.join(broadcast_if_small(cut_lineage(lot)), "key").groupBy("lot").applyInArrow(_linked_rows, "key binary, links bigint")
+    if not large.isEmpty():
+        sized = members.join(large.select("component"), "component").join(sets.select("key", "n"), "key")
+        level = sized.withColumn("level", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+        parts = level.groupBy("component", "level").agg(F.ceil(F.count(F.lit(1)) / COUNTED).cast("int").alias("parts"))
+        block = F.struct("level", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+        placed = cut_lineage(level.join(broadcast_if_small(parts), ["component", "level"]).select("key", "component", "class_size", block.alias("block")))
+        there = placed.select("component", "block").distinct()
+        near = F.abs(F.col("block.level") - F.col("right.level")) <= 1
+        pairs = cut_lineage(there.join(there.withColumnRenamed("block", "right"), "component").filter((F.col("block") <= F.col("right")) & near))
+        others = pairs.filter("block != right").withColumnsRenamed({"block": "left", "right": "block"})
+        sides = pairs.select("component", "block", F.col("block").alias("left"), "right", F.lit(False).alias("second")).union(
+            others.select("component", "block", "left", F.col("block").alias("right"), F.lit(True).alias("second"))
+        )
+        full = shingles.join(broadcast_if_small(placed), "key").join(broadcast_if_small(sides), ["component", "block"]).drop("block")
+        out = out.union(full.groupBy("component", "left", "right").applyInArrow(_linked_rows, "key binary, links bigint"))
+    return out.groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(documents: DataFrame, buckets: int | None = None, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_size, n_links`` for every row of ``documents``.
 
     ``component_id`` is the smallest id among the documents reachable by links
-    of similarity 3/4 or more; ``class_size`` counts rows with the same set.
-    Null and empty texts have no shingles, their own id and class size 1. Rows
+    of similarity 3/4 or more; ``class_size`` counts rows with the same set, and
+    ``n_links`` all other rows of similarity 3/4 or more, those of the same set
+    among them; without ``links`` it is not counted and left out.
+    Null and empty texts have no shingles, their own id, class size 1 and no links. Rows
     may repeat; each gets a row. A null id stands for no document: it is never
     the smallest, and a component of null ids only has a null id. Ids are cast
     to long. ``buckets`` hash ranges are counted, each by one task; it should
@@ -261,12 +319,17 @@ def jaccard_components(documents: DataFrame, buckets: int | None = None, common:
     docs = found.filter("rare is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
     gathered = found.filter("rare is not null").groupBy("key", "n").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("rare", "common")])
     sets = cut_lineage(gathered.filter(4 * (F.size("rare") + F.size("common")) >= 3 * F.col("n")))
-    components = set_components(sets).select(F.col("node").alias("key"), "component")
+    components = cut_lineage(set_components(sets).select(F.col("node").alias("key"), "component"))
 
     classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     joined = classes.join(components, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("key", "component_id", "class_size")
+    size = F.coalesce("class_size", F.lit(1)).cast("long")
+    counted = []
+    if links:
+        named = named.join(link_counts(components, sets, classes), "key", "left")
+        counted = [(size - 1 + F.coalesce("links", F.lit(0))).alias("n_links")]
     known = docs.join(named, "key", "left")
     mine = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return known.select("doc_id", "n_shingles", mine.alias("component_id"), size.alias("class_size"), *counted)

@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each group of near copies that has the smallest id."""
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, links=False)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
 

@@ -52,6 +52,34 @@ def test_jaccard_of_a_crowded_token(spark, monkeypatch):
     assert order(got) == order(components(rows))
 
 
+def link_numbers(rows):
+    sets = []
+    for doc, text, *_ in rows:
+        words = SPACE_WORDS.findall((text or "").translate(ASCII_LOWER))
+        sets.append((doc, frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()))
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    return [(doc, len(a), sum(near(a, b) for j, (_, b) in enumerate(sets) if j != i)) for i, (doc, a) in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [3, 1_024])
+def test_jaccard_links_are_all_counted(spark, docs, monkeypatch, block):
+    """Links inside a component as well, over small components and over blocks of large ones, weighted by equal sets."""
+    monkeypatch.setattr(jaccard_join, "COUNTED", block)
+    df, rows = docs
+    base = [f"b{i}" for i in range(60)]
+    crowd = []
+    for i in range(30):
+        words = base[: 60 - i]
+        words[(i * 7) % 20 : (i * 7) % 20 + 1] = [f"x{i // 2}"]
+        crowd.append((20_000 + i, " ".join(words)))
+    crowd += [(21_000, crowd[4][1]), (21_000, crowd[4][1])]
+    both = df.select("doc_id", "text").union(spark.createDataFrame(crowd, "doc_id long, text string"))
+    got = tuples(jaccard_components(both, buckets=5).select("doc_id", "n_shingles", "n_links"))
+    want = link_numbers([*rows, *crowd])
+    assert order(got) == order(want) and 0 < max(w[2] for w in want[-32:]) < 31
+    assert "n_links" not in jaccard_components(both, buckets=5, links=False).columns
+
+
 def test_remove_repeats(docs):
     df, rows = docs
     got = remove_repeats(df, buckets=4)
