@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -27,10 +28,13 @@ CELLS = 20_000  # blocks, padding included, that are labelled at once
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("head title script style noscript template svg select button option textarea".split())
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSED_BY_SAME = frozenset("p li dd dt td th tr option".split())
 CHROME_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog")
 CHROME_NAMES = ("ad", "ads", "advert", "banner", "sidebar", "cookie", "notice", "popup", "promo", "related", "share", "social", "comment", "comments", "replies", "breadcrumb", "menu", "newsletter", "signup", "footer", "header", "sponsor", "widget")
 MAIN_TAGS = ("article", "main")
+PLAIN_TAGS = ("div", "section")
+PLAIN_NAMES = ("content", "post", "entry", "body", "text", "story", "page")  # in training only; half the containers have no name
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _names = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -48,6 +52,8 @@ def page_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal parts, linked, total
         if parts:
             text = _space.sub(" ", html.unescape("".join(parts))).strip()
+            if text and path and path[-1][0] == "head":
+                path.pop()
             if text and not any(name in HIDDEN_TAGS for name, _ in path):
                 blocks.append((text, tuple(part for _, own in path for part in own), linked / max(total, 1)))
         parts, linked, total = [], 0, 0
@@ -69,6 +75,10 @@ def page_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             in_link = 0 if m[2] else 1
         if name == "br":
             say(" ")
+        if not m[2] and name not in HEAD_TAGS and path and path[-1][0] == "head":
+            close()
+            if path and path[-1][0] == "head":
+                path.pop()  # its end tag may be left out
         if name not in BLOCK_TAGS:
             continue
         close()
@@ -87,6 +97,7 @@ def page_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     return blocks
 
 
+@lru_cache(maxsize=65_536)
 def _slot(text: str, n: int) -> int:
     return crc32(text.encode()) % n
 
@@ -99,9 +110,9 @@ def block_vectors(blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarra
             row[_slot(part, PATHS)] += 1
         row[_slot("leaf " + (path[-1] if path else ""), PATHS)] += 1
         words = text.split(" ")
-        for word in words[:: max(1, len(words) // 32)]:  # evenly over the whole block
+        for word in words:
             row[PATHS + _slot(word.lower(), WORDS)] += 1
-        row[PATHS : PATHS + WORDS] /= max(1, min(len(words), 32))
+        row[PATHS : PATHS + WORDS] /= len(words)
         row[PATHS + WORDS :] = (np.log1p(len(text)) / 8, link, np.log1p(len(words)) / 6, text[-1] in ".!?", i / len(blocks), 1)
     return out
 
@@ -216,8 +227,10 @@ def taught(path: tuple[str, ...]) -> bool:
 
 
 def training_pages(pages: list[str], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each page as it is, and once more with parts of other layouts put in.
+    """Each page as it is, with parts of other layouts put in, and with these but without article and main.
 
+    The last has divisions or sections in their place, named or not, and the
+    labels of the page before.
     The added blocks use text of the sample itself; menus, notices, side bars,
     forms and comments come before, inside and after the article.
     """
@@ -240,8 +253,11 @@ def training_pages(pages: list[str], seed: int = 11) -> list[tuple[np.ndarray, n
                 else:
                     extra = (*inside, ("div", "section", "ul")[rng.integers(3)], "." + CHROME_NAMES[rng.integers(len(CHROME_NAMES))], ("p", "li", "div")[rng.integers(3)])
                 mixed.append((some(), extra, float(rng.random() < 0.3)))
-        for page in (blocks, mixed):
-            out.append((block_vectors(page), np.array([taught(path) for _, path, _ in page], np.float32)))
+        tag = PLAIN_TAGS[rng.integers(len(PLAIN_TAGS))]
+        box = (tag, "." + PLAIN_NAMES[rng.integers(len(PLAIN_NAMES))]) if rng.random() < 0.5 else (tag,)
+        plain = [(text, tuple(p for part in path for p in (box if part in MAIN_TAGS else (part,))), link) for text, path, link in mixed]
+        for page, teacher in ((blocks, blocks), (mixed, mixed), (plain, mixed)):
+            out.append((block_vectors(page), np.array([taught(path) for _, path, _ in teacher], np.float32)))
     return out
 
 

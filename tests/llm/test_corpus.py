@@ -326,6 +326,37 @@ def test_html_labeller_on_held_out_pages(spark):
     assert [b[0] for b in html_blocks.page_blocks("<article><p>c<!-- x --><br>d<p>e</article>")] == ["c d", "e"]
 
 
+def test_html_without_article_or_main(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_blocks.fit_labeller(given, sample=120)
+    held = given.orderBy(F.xxhash64("page_id").desc()).limit(40).collect()
+    rows, want = [], {}
+    for i, r in enumerate(held):
+        blocks = html_blocks.page_blocks(r.html)
+        want[i] = [t for t, path, _ in blocks if html_blocks.taught(path)]
+        text = "".join(f"<p>{t.replace('&', '&amp;').replace('<', '&lt;')}</p>" for t in want[i])
+        box = ("<div class=content>", "<div>", "<section>", "<section id='text'>")[i % 4]
+        end = box[1:].split()[0].rstrip(">")
+        rows.append((i, "u", f"<html><head><meta charset=utf-8><title>t</title><body><nav><a href=x>Home</a></nav>{box}{text}</{end}><footer><p>Contact</p></footer>"))
+    got = {r.page_id: r.text.split("\n") for r in html_blocks.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect()}
+    total = sum(len(t) for i in want for t in want[i])
+    found = sum(len(t) for i in want for t in want[i] if t in got[i])
+    print(found / total)
+    assert found / total > 0.95
+    assert not any(t in ("Home", "Contact") for texts in got.values() for t in texts)
+
+
+def test_html_head_without_end_and_every_word():
+    read = lambda page: [b[0] for b in html_blocks.page_blocks(page)]
+    assert read("<html><head><title>t</title><meta charset=utf-8><body><p>a") == ["a"]
+    assert read("<head><title>t</title><p>a</p><p>b") == ["a", "b"]
+    assert read("<head><title>t</title>a<p>b") == ["a", "b"]
+    assert read("<head><title>t</title><span>a</span> b") == ["a b"]
+    words = [f"w{i}" for i in range(200)]
+    vector = lambda ws: html_blocks.block_vectors([(" ".join(ws), ("p",), 0.0)])[0]
+    assert all((vector(words) != vector([*words[:i], "other" + "x" * i, *words[i + 1 :]])).any() for i in (1, 2, 3, 5, 101))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
     assert jaccard_components(none).count() == remove_repeats(none).count() == mix(none).count() == scan_secrets(none).count() == 0
