@@ -504,7 +504,7 @@ def _(m):
 def _mapping(m):
     existing = m.spark.createDataFrame([("company", 1)], "group_type string, type_index int")
     seen = m.ev.groupBy(F.concat(F.lit("t"), (F.col("k") % 7).cast("string")).alias("group_type")).agg(F.min("event_id").alias("first_seen"))
-    return I.assign_group_types(existing, seen)
+    return I.assign_group_types(existing, seen, max_types=5)
 
 
 _MAPPING = f"""{EV}, seen AS (SELECT 't' || (k % 7) AS group_type, min(event_id) AS f FROM ev GROUP BY 1), rk AS (SELECT group_type, row_number() OVER (ORDER BY f) AS n FROM seen),
@@ -526,7 +526,7 @@ for _name in ("SCL20_group_stamping", "SCL35_envelope_groups"):
         own = F.when(k % 2 == 0, F.create_map(F.lit("company"), F.lit("own"), F.concat(F.lit("t"), (k % 7).cast("string")), key)).otherwise(
             F.create_map(F.concat(F.lit("t"), (k % 7).cast("string")), key))
         rows = m.ev.select("event_id", I.merge_envelope_groups(envelope, own).alias("groups"), I.empty_map().alias("properties"))
-        return I.stamp_groups(rows, _mapping(m)).select("event_id", F.explode("properties").alias("name", "value"))
+        return I.stamp_groups(rows, _mapping(m), max_types=5, max_key=400).select("event_id", F.explode("properties").alias("name", "value"))
 
 
 @query("JON22_accounts_as_groups", f"WITH {EV} SELECT 2 AS type_index, {_ACC} AS group_key, 'Name ' || arg_max(k, (created_at, event_id)) FILTER (WHERE event = 'signup') AS name, arg_max(path, (created_at, event_id)) FILTER (WHERE event = 'purchase') AS tier FROM ev GROUP BY ALL".replace("SELECT 2 AS", "SELECT 2::BIGINT AS"))

@@ -13,7 +13,6 @@ from clickloom.plans.graph import connected_components, resolve_chains
 from clickloom.plans.small import broadcast_if_small, with_row
 
 MAP = "map<string,string>"
-MAX_GROUP_TYPES, MAX_KEY = 5, 400
 
 
 def empty_map() -> Column:
@@ -168,30 +167,52 @@ def merge_keyed(rows: DataFrame, merges: DataFrame, key: str) -> DataFrame:
 # Groups.
 
 
-def assign_group_types(existing: DataFrame, seen: DataFrame) -> DataFrame:
+def assign_group_types(existing: DataFrame, seen: DataFrame, max_types: int | None = None) -> DataFrame:
     """``group_type, type_index``: kept mappings, then new types on free indexes.
 
-    ``seen`` holds ``group_type, first_seen``; types beyond five are dropped.
+    ``seen`` holds ``group_type, first_seen``. With ``max_types``, only indexes
+    below it are given; ``refused_group_types`` has the types that get none.
     """
     new = seen.groupBy("group_type").agg(F.min("first_seen").alias("first_seen")).join(existing, "group_type", "left_anti")
-    # Nothing beyond the five earliest new types can get an index.
-    head = new.orderBy("first_seen", "group_type").limit(MAX_GROUP_TYPES)
+    n = existing.count() + new.count() if max_types is None else max_types
+    # Nothing beyond the n earliest new types can get an index.
+    head = new.orderBy("first_seen", "group_type").limit(n)
     head = head.withColumn("_n", F.row_number().over(Window.orderBy("first_seen", "group_type")))
-    all_indexes = existing.sparkSession.range(MAX_GROUP_TYPES).select(F.col("id").cast("int").alias("type_index"))
+    all_indexes = existing.sparkSession.range(n).select(F.col("id").cast("int").alias("type_index"))
     free = all_indexes.join(existing, "type_index", "left_anti").withColumn("_n", F.row_number().over(Window.orderBy("type_index")))
     return existing.select("group_type", "type_index").unionByName(head.join(free, "_n").select("group_type", "type_index"))
 
 
-def stamp_groups(df: DataFrame, mapping: DataFrame, groups: str = "groups", properties: str = "properties") -> DataFrame:
-    """Write ``{type: key}`` into ``$group_<i>``; the mapping has at most five rows."""
-    indexes = mapping.limit(MAX_GROUP_TYPES).agg(
-        F.map_from_entries(F.collect_list(F.struct("group_type", F.col("type_index").cast("string")))).alias("_types")
-    )
+def refused_group_types(mapping: DataFrame, seen: DataFrame) -> DataFrame:
+    """``group_type, first_seen`` of the seen types without an index."""
+    return seen.groupBy("group_type").agg(F.min("first_seen").alias("first_seen")).join(mapping, "group_type", "left_anti")
+
+
+def _type_indexes(mapping: DataFrame, max_types: int | None) -> DataFrame:
+    kept = mapping if max_types is None else mapping.orderBy("type_index", "group_type").limit(max_types)
+    return kept.agg(F.map_from_entries(F.collect_list(F.struct("group_type", F.col("type_index").cast("string")))).alias("_types"))
+
+
+def stamp_groups(
+    df: DataFrame, mapping: DataFrame, groups: str = "groups", properties: str = "properties", max_types: int | None = None, max_key: int | None = None
+) -> DataFrame:
+    """Write ``{type: key}`` into ``$group_<i>``; ``refused_groups`` has the entries that the limits keep out."""
+    fits = lambda k: F.lit(True) if max_key is None else F.length(k) <= max_key
     valid = F.map_filter(
-        F.coalesce(groups, empty_map()), lambda t, k: k.isNotNull() & (k != "") & (F.length(k) <= MAX_KEY) & F.map_contains_key("_types", t)
+        F.coalesce(groups, empty_map()), lambda t, k: k.isNotNull() & (k != "") & fits(k) & F.map_contains_key("_types", t)
     )
     stamped = F.transform_keys(valid, lambda t, _: F.concat(F.lit("$group_"), F.try_element_at("_types", t)))
-    return with_row(df, indexes).withColumn(properties, F.map_concat(properties, stamped)).drop("_types")
+    return with_row(df, _type_indexes(mapping, max_types)).withColumn(properties, F.map_concat(properties, stamped)).drop("_types")
+
+
+def refused_groups(
+    df: DataFrame, mapping: DataFrame, keys: Sequence[str], groups: str = "groups", max_types: int | None = None, max_key: int | None = None
+) -> DataFrame:
+    """``keys``, ``group_type, group_key, reason``: entries with a key that ``stamp_groups`` does not write."""
+    entries = with_row(df.select(*keys, groups), _type_indexes(mapping, max_types)).select(*keys, "_types", F.explode(groups).alias("group_type", "group_key"))
+    long = F.lit(False) if max_key is None else F.length("group_key") > max_key
+    reason = F.when(~F.map_contains_key("_types", F.col("group_type")), "type").when(long, "key")
+    return entries.filter("group_key != ''").withColumn("reason", reason).filter("reason is not null").drop("_types")
 
 
 def merge_envelope_groups(envelope: Column, event: Column) -> Column:

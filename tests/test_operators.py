@@ -232,3 +232,20 @@ def test_event_goal_compares_json_values(spark):
     goal = Goal("g", "event", "e", {"k": 7})
     assert [r.id for r in rows.filter(experiments.goal_test(goal)).collect()] == [1]
     assert json.dumps(goal.data) == '{"k": 7}'
+
+
+def test_group_types_and_keys_have_no_limit_by_default(spark):
+    from clickloom.operators import identity
+
+    none = spark.createDataFrame([], "group_type string, type_index int")
+    seen = spark.createDataFrame([(f"t{i}", i) for i in range(8)], "group_type string, first_seen int")
+    mapping = identity.assign_group_types(none, seen)
+    assert sorted(map(tuple, mapping.collect())) == [(f"t{i}", i) for i in range(8)]
+    rows = spark.createDataFrame([(1, {"t7": "k" * 500, "t1": "a", "t2": ""}, {})], "id int, groups map<string,string>, properties map<string,string>")
+    assert identity.stamp_groups(rows, mapping).first()["properties"] == {"$group_7": "k" * 500, "$group_1": "a"}
+    five = identity.assign_group_types(none, seen, max_types=5)
+    assert sorted(r.group_type for r in identity.refused_group_types(five, seen).collect()) == ["t5", "t6", "t7"]
+    refused = identity.refused_groups(rows, mapping, ["id"], max_types=5, max_key=400)
+    assert [(r.id, r.group_type, len(r.group_key), r.reason) for r in refused.collect()] == [(1, "t7", 500, "type")]
+    refused = identity.refused_groups(rows, mapping, ["id"], max_key=400)
+    assert [(r.group_type, r.reason) for r in refused.collect()] == [("t7", "key")]
