@@ -116,7 +116,7 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 @query("op8_binary_records")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return read_records(write_records(table(spark, sf_dir, "documents"), tokenizer_path(), encode_special_tokens=False))
 
 
 @query("op9_html_extraction")

@@ -72,11 +72,13 @@ def _appended(values: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
 class Pieces:
     """Ids of all pieces met so far in one flat array; ``plain`` and ``spaced`` (behind one space) give their rows."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, special_as_text: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)  # none reaches over a space
         self.forget()
 
     def forget(self) -> None:
@@ -102,22 +104,22 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
-def _pieces(source: str) -> Pieces:
-    return Pieces(source)
+def _pieces(source: str, special_as_text: bool) -> Pieces:
+    return Pieces(source, special_as_text)
 
 
-def encode(source: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encode(source: str, texts: pa.Array, special_as_text: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, as 32-bit integers, and where each text ends.
 
     A byte-level vocabulary never joins across a space that follows a visible
     character, so texts are cut there, every distinct piece is encoded once,
     and the ids are gathered by piece. A null text is empty.
     """
-    pieces = _pieces(source)
+    pieces = _pieces(source, special_as_text)
     if pieces.n > CACHED:
         pieces.forget()
     texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, _unsafe).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, _unsafe).to_numpy(zero_copy_only=False) | (not pieces.cuts)
     cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
     words, starts = cut.flatten(), cut.offsets.to_numpy()[:-1] - (cut.offsets[0].as_py() if len(cut) else 0)
     coded = words.dictionary_encode()
@@ -127,7 +129,7 @@ def encode(source: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n_rows[~odd] = np.diff(starts, append=len(words))
     if odd.any():
         # Runs of spaces are no place to cut; their texts are cut one by one and put in between.
-        lists = [_breaks.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        lists = [_breaks.split(t) if pieces.cuts else [t] for t in texts.filter(pa.array(odd)).to_pylist()]
         n_rows[odd] = [len(x) for x in lists]
         all_rows, from_odd = np.empty(n_rows.sum(), np.int64), np.repeat(odd, n_rows)
         all_rows[from_odd] = pieces.rows(pieces.plain, "", [p for x in lists for p in x])
@@ -140,13 +142,13 @@ def encode(source: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], total])[np.cumsum(n_rows)]
 
 
-def _write(folder: str, source: str, end_id: int):
+def _write(folder: str, source: str, end_id: int, special_as_text: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         place, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        wide = _pieces(source).tokenizer.get_vocab_size() > 65_536 or end_id > 65_535
+        wide = _pieces(source, special_as_text).tokenizer.get_vocab_size() > 65_536 or end_id > 65_535
         part = TaskContext.get().partitionId()
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"  # an attempt that dies leaves a file that no manifest names
         index, offset, start = [], 0, 0
@@ -156,7 +158,7 @@ def _write(folder: str, source: str, end_id: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(lo, TEXTS)
-                coded, ends = encode(source, some.column(1))
+                coded, ends = encode(source, some.column(1), special_as_text)
                 data = coded.astype(kind).tobytes()
                 stream = stream or place.open_output_stream(f"{path}.records")
                 at = 0
@@ -180,14 +182,16 @@ def _write(folder: str, source: str, end_id: int):
     return write
 
 
-def write_records(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """Encode and write all documents in ascending id order; returns the manifest, one row per file.
 
     ``tokenizer`` is the path of a byte-level vocabulary on the driver; its
     content travels with the tasks. ``folder`` must be one that all executors
     share (default: under ``spark.checkpoint.dir``). Documents are dealt by
     ranges of ids, null ids first, rows of one id by their text. A null text is
-    empty and has only the end id. Files of failed attempts are not in the
+    empty and has only the end id. Control strings inside a text are text with
+    ``encode_special_tokens`` and their own ids without, as is the tokenizer's
+    default. Files of failed attempts are not in the
     manifest, which is written out before anything reads it.
     """
     spark = documents.sparkSession
@@ -200,7 +204,7 @@ def write_records(documents: DataFrame, tokenizer: str, folder: str | None = Non
 
         os.makedirs(re.sub(r"^file:/*", "/", folder), exist_ok=True)
     dealt = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    return cut_lineage(dealt.mapInArrow(_write(folder, content, end_id), MANIFEST)).withColumn("folder", F.lit(folder))
+    return cut_lineage(dealt.mapInArrow(_write(folder, content, end_id, encode_special_tokens), MANIFEST)).withColumn("folder", F.lit(folder))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records of the mix, as read back from the files."""
-    return read_records(write_records(docs, tokenizer_path()))
+    return read_records(write_records(docs, tokenizer_path(), encode_special_tokens=False))
 
 
 STAGES = [

@@ -261,6 +261,20 @@ def test_records_round_trip(spark, docs):
     assert order(got) == order(want)
 
 
+def test_records_query_keeps_the_default_of_the_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> of", "a<|endoftext|>b  <|endoftext|> \n <|endoftext|>", "<|endoftext|>", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuples(QUERIES["op8_binary_records"](spark, str(tmp_path))))
+    tokenizer, want, start = Tokenizer.from_file(tokenizer_path()), [], 0
+    for doc, text in enumerate(texts):
+        coded = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        want.append((doc, start, len(coded), crc32(b"".join(i.to_bytes(4, "little") for i in coded))))
+        start += len(coded)
+    assert got == want
+
+
 def test_damaged_record_is_found():
     good = records.framed(b"payload")
     assert records.unframed(memoryview(good), 0) == (b"payload", len(good))
