@@ -26,7 +26,7 @@ class PathsQuery:
     end_point: str | None = None
     exclude: tuple[str, ...] = ()
     step_limit: int = 5
-    edge_limit: int | None = 50
+    edge_limit: int | None = None
     min_edge_weight: int | None = None
     max_edge_weight: int | None = None
     cleaning: tuple[tuple[str, str], ...] = ()

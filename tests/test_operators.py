@@ -249,3 +249,13 @@ def test_group_types_and_keys_have_no_limit_by_default(spark):
     assert [(r.id, r.group_type, len(r.group_key), r.reason) for r in refused.collect()] == [(1, "t7", 500, "type")]
     refused = identity.refused_groups(rows, mapping, ["id"], max_key=400)
     assert [(r.group_type, r.reason) for r in refused.collect()] == [("t7", "key")]
+
+
+def test_stored_paths_keep_all_edges():
+    from datetime import datetime
+
+    from clickloom.operators.saved import parse
+
+    spec = {"date_from": "2024-01-05", "date_to": "2024-01-25"}
+    assert parse("paths", spec, datetime(2024, 2, 1)).edge_limit is None
+    assert parse("paths", {**spec, "edge_limit": 7}, datetime(2024, 2, 1)).edge_limit == 7
