@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clickloom.llm.bpe import decode_ids, encode_documents
 from clickloom.llm.chat import chains, format_conversations, read_back
 from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.html_blocks import extract_text, fit_labeller
@@ -132,3 +133,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = trusted_ids(table(spark, sf_dir, "labels"))
     judged = quality_rules(documents, target_weights(documents, trusted, prior=PRIOR, folds=FOLDS), trusted=trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_ids(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_digest(decimals).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
