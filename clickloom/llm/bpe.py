@@ -29,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-PIECES = 600_000  # encoded pieces that a worker remembers at most
-PAIRS = 1_000_000  # pairs of tokens whose compatibility a worker remembers at most
+PIECES = 400_000  # encoded pieces that a worker remembers at most
+PAIRS = 300_000  # pairs of tokens whose compatibility a worker remembers at most
 LONG_PIECE = 2_000  # bytes; the matches of longer ones are not held at once
 PIECE_CHARS = 100  # longer pieces are not remembered
-TEXT_BYTES = 8_000_000  # of the texts encoded together
+TEXT_BYTES = 2_000_000  # of the texts encoded together
+IDS = 500_000  # of the lists decoded together
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -192,13 +193,13 @@ def _bytes_by_id(lines: bytes) -> pa.Array:
     return pa.array(tokens, pa.large_binary())
 
 
-def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts have about ``TEXT_BYTES`` together."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+def _lots(lengths: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Where runs of rows begin and their numbers of rows; a run has one row or at most ``limit`` of length."""
+    sizes = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))
     lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_BYTES, "right")))
-        yield lo, min(hi, len(texts))
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi - lo
         lo = hi
 
 
@@ -210,7 +211,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
     tokens at most. Special tokens are not known, so their strings are
     ordinary text. Null and empty texts have no ids. Rows may repeat, null
     document ids stay null, other columns are not read. A text is whole in its
-    row; a worker holds ``TEXT_BYTES`` of text or one row at a time, and bounded
+    row; a worker encodes ``TEXT_BYTES`` of text or one row at a time, and has bounded
     memories of pieces and pairs, which do not change any result.
     """
     with open(ranks_path, "rb") as f:
@@ -220,11 +221,11 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(lines, pattern)
         for batch in batches:
-            texts = batch.column(1)
-            for lo, hi in _lots(texts):
-                ids, ends = own.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+            for lot in _lots(pc.binary_length(batch.column(1)), TEXT_BYTES):
+                names, texts = batch.slice(*lot).columns
+                ids, ends = own.encode([t or "" for t in texts.to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([names, lists], schema=schema)
 
     rows = documents.select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(encode, "doc_id bigint, ids array<int>")
@@ -240,17 +241,18 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_co
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _bytes_by_id(lines)
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat = ids.flatten()
-            parts = tokens.take(flat)
-            if parts.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))])
-            data = parts.buffers()[2]
-            values = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[offsets].astype(np.int64)), data or pa.py_buffer(b"")])
-            values = pc.if_else(ids.is_valid(), values, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for lot in _lots(pc.list_value_length(whole.column(ids_col)), IDS):
+                batch = whole.slice(*lot)
+                ids = batch.column(ids_col)
+                parts = tokens.take(ids.flatten())
+                if parts.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+                ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))])
+                data = parts.buffers()[2] or pa.py_buffer(b"")
+                values = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[offsets].astype(np.int64)), data])
+                values = pc.if_else(ids.is_valid(), values, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(decode, StructType([*encoded.schema, StructField(out_col, BinaryType())]))
