@@ -29,24 +29,28 @@ def resolve_chains(links: DataFrame, source: str = "from_id", target: str = "to_
 def connected_components(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
     """``node, component`` with the smallest node id of each component.
 
-    Every round takes the smallest label among the neighbours, pre-aggregated
-    before the shuffle, and then follows the label's own label. Labels only
-    fall, so the rounds end by themselves, however many a graph needs.
+    Edges are contracted. Nodes are ranked by a hash, so that the ids' own order
+    makes no long chains; a node below all its neighbours is a root, and a node
+    whose lowest neighbour is a root merges into it. Edges are then drawn
+    between what is left, those inside a merged node go, and the rest are made
+    distinct, so they shrink with every round, which is one job. Rounds grow
+    with the logarithm of the nodes, and none is needed to see that it is over.
+    The merges of all rounds give a node its root, however many there were.
     """
-    pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("near"))
-    both = cut_lineage(pairs.union(pairs.select("near", "node")).distinct())
-    labels = cut_lineage(both.select("node").distinct().withColumn("component", F.col("node")))
-    while True:
-        best = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(
-            F.min("component").alias("_best")
-        )
-        stepped = labels.join(best, "node").select("node", F.least("component", "_best").alias("_hop"), F.col("component").alias("_old"))
-        jump = labels.select(F.col("node").alias("_hop"), F.col("component").alias("_far"))
-        after = cut_lineage(
-            stepped.join(jump, "_hop").select(
-                "node", F.least("_hop", "_far").alias("component"), (F.least("_hop", "_far") != F.col("_old")).alias("_moved")
-            )
-        )
-        labels = after.select("node", "component")
-        if after.filter("_moved").limit(1).count() == 0:
-            return labels
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    given = edges.select(ranked(a).alias("u"), ranked(b).alias("v"))
+    rest = cut_lineage(given.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    nodes = rest.select("u").union(rest.select("v")).distinct()
+    labels = nodes.select(F.col("u").alias("node"), F.col("u").alias("root"))
+    rest = rest.filter("u < v")
+    while not rest.isEmpty():
+        both = rest.select("u", "v").union(rest.select("v", "u"))
+        lowest = both.groupBy("u").agg(F.min("v").alias("low"))
+        above = lowest.select(F.col("u").alias("low"), F.col("low").alias("next"))
+        merges = lowest.join(above, "low").filter("low < u and low < next").select("u", F.col("low").alias("to"))
+        ends = rest.join(merges, "u", "left").select(F.coalesce("to", "u").alias("p"), F.col("v").alias("u"))
+        ends = ends.join(merges, "u", "left").select("p", F.coalesce("to", "u").alias("q"))
+        labels = labels.join(merges.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        rest = cut_lineage(ends.filter("p != q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+    least = labels.groupBy("root").agg(F.min("node.id").alias("component"))
+    return labels.join(least, "root").select(F.col("node.id").alias("node"), "component")
