@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.llm.packed import PACKED, chunks, listed, packed, unpacked, windows
 from clickloom.plans.graph import connected_components
-from clickloom.plans.small import broadcast_if_small
 from clickloom.session import cut_lineage
 
 WIDTH = 5
@@ -35,6 +34,7 @@ COMMON = 16  # a shingle of more distinct sets than this is indexed in pairs
 SMALL = 16  # tokens of at most so many sets are compared as pairs, larger ones in blocks
 BLOCK = 256  # sets of a block
 COUNTED = 1_024  # sets of a block in which links are counted
+RANGE_BYTES = 16_000_000  # text per range of hashes
 LOT = 1_000  # sets of small components that one call counts
 KEY = np.dtype("S16")
 SETS = f"{PACKED}, ids array<bigint>"
@@ -235,20 +235,19 @@ def set_components(sets: DataFrame) -> DataFrame:
     missed, and links inside one add nothing.
     """
     index = cut_lineage(index_keys(sets))
-    pairs = cut_lineage(star_pairs(index))
-    links = cut_lineage(linked(pairs, sets))
+    links = cut_lineage(linked(star_pairs(index), sets))
     rest = cut_lineage(labelled(index, connected_components(links, "a", "b")))
     held = rest.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     few = rest.join(held.filter(F.col("k") <= SMALL).select("token"), "token", "left_semi")
     many = rest.join(held.filter(F.col("k") > SMALL).select("token"), "token", "left_semi")
-    links = links.union(linked(small_pairs(few).join(pairs, ["a", "b"], "left_anti"), sets))
+    links = links.union(linked(small_pairs(few), sets))
     members = many.select("key", "n", "component").distinct()
     if not members.isEmpty():
         hubs = many.groupBy("token").agg(F.min("key").alias("hub"))
         clusters = connected_components(many.join(hubs, "token").select("key", "hub").distinct(), "key", "hub")
         clustered = members.join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key")
         links = links.union(block_links(clustered, sets))
-    return connected_components(cut_lineage(links), "a", "b")
+    return connected_components(links, "a", "b")
 
 
 def _linked_rows(table: pa.Table) -> pa.Table:
@@ -274,28 +273,26 @@ def link_counts(components: DataFrame, sets: DataFrame, classes: DataFrame) -> D
     many at a time; a task of a larger one holds two blocks and returns one
     count per set, so neither memory nor rows grow with the number of links.
     """
-    members = cut_lineage(components.join(classes.select("key", "class_size"), "key"))
-    held = members.groupBy("component").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > COUNTED)
-    large = broadcast_if_small(cut_lineage(held))
-    few = members.join(large, "component", "left_anti")
+    held = components.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    members = cut_lineage(components.join(held, "component").join(classes.select("key", "class_size"), "key"))
+    few, large = members.filter(F.col("k") <= COUNTED), members.filter(F.col("k") > COUNTED)
     lots = max(1, few.count() // LOT)
     shingles = sets.select("key", "n", F.concat("rare", "common").alias("tokens"))
     lot = few.select("key", "component", "class_size", F.lit(False).alias("second"), F.pmod(F.xxhash64("component"), F.lit(lots)).alias("lot"))
-    out = shingles.join(broadcast_if_small(cut_lineage(lot)), "key").groupBy("lot").applyInArrow(_linked_rows, "key binary, links bigint")
+    out = shingles.join(lot, "key").groupBy("lot").applyInArrow(_linked_rows, "key binary, links bigint")
     if not large.isEmpty():
-        sized = members.join(large.select("component"), "component").join(sets.select("key", "n"), "key")
-        level = sized.withColumn("level", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+        level = large.join(sets.select("key", "n"), "key").withColumn("level", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
         parts = level.groupBy("component", "level").agg(F.ceil(F.count(F.lit(1)) / COUNTED).cast("int").alias("parts"))
         block = F.struct("level", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
-        placed = cut_lineage(level.join(broadcast_if_small(parts), ["component", "level"]).select("key", "component", "class_size", block.alias("block")))
+        placed = cut_lineage(level.join(parts, ["component", "level"]).select("key", "component", "class_size", block.alias("block")))
         there = placed.select("component", "block").distinct()
         near = F.abs(F.col("block.level") - F.col("right.level")) <= 1
-        pairs = cut_lineage(there.join(there.withColumnRenamed("block", "right"), "component").filter((F.col("block") <= F.col("right")) & near))
+        pairs = there.join(there.withColumnRenamed("block", "right"), "component").filter((F.col("block") <= F.col("right")) & near)
         others = pairs.filter("block != right").withColumnsRenamed({"block": "left", "right": "block"})
         sides = pairs.select("component", "block", F.col("block").alias("left"), "right", F.lit(False).alias("second")).union(
             others.select("component", "block", "left", F.col("block").alias("right"), F.lit(True).alias("second"))
         )
-        full = shingles.join(broadcast_if_small(placed), "key").join(broadcast_if_small(sides), ["component", "block"]).drop("block")
+        full = placed.join(sides, ["component", "block"]).drop("block").join(shingles, "key")
         out = out.union(full.groupBy("component", "left", "right").applyInArrow(_linked_rows, "key binary, links bigint"))
     return out.groupBy("key").agg(F.sum("links").alias("links"))
 
@@ -310,25 +307,24 @@ def jaccard_components(documents: DataFrame, buckets: int | None = None, common:
     Null and empty texts have no shingles, their own id, class size 1 and no links. Rows
     may repeat; each gets a row. A null id stands for no document: it is never
     the smallest, and a component of null ids only has a null id. Ids are cast
-    to long. ``buckets`` hash ranges are counted, each by one task; it should
-    grow with the corpus (default: the session's shuffle partitions).
+    to long. ``buckets`` hash ranges are counted, each by one task; by default
+    their number follows the bytes of text.
     """
-    spark = documents.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 1 + (documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // RANGE_BYTES
     found = cut_lineage(shared_shingles(documents, buckets, common, id_col, text_col))
     docs = found.filter("rare is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
     gathered = found.filter("rare is not null").groupBy("key", "n").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("rare", "common")])
     sets = cut_lineage(gathered.filter(4 * (F.size("rare") + F.size("common")) >= 3 * F.col("n")))
     components = cut_lineage(set_components(sets).select(F.col("node").alias("key"), "component"))
 
-    classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    classes = cut_lineage(docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size")))
     joined = classes.join(components, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("key", "component_id", "class_size")
     size = F.coalesce("class_size", F.lit(1)).cast("long")
     counted = []
     if links:
-        named = named.join(link_counts(components, sets, classes), "key", "left")
+        named = named.join(cut_lineage(link_counts(components, sets, classes)), "key", "left")
         counted = [(size - 1 + F.coalesce("links", F.lit(0))).alias("n_links")]
     known = docs.join(named, "key", "left")
     mine = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
