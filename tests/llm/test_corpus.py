@@ -6,7 +6,7 @@ from cases import ALNUM_WORDS, ASCII_LOWER, FOLDER, SPACE_WORDS, awkward, compon
 
 from pyspark.sql import functions as F
 
-from clickloom.llm import html_blocks, jaccard_join, records
+from clickloom.llm import html_blocks, jaccard_join, records, substrings
 from clickloom.llm.chat import best_paths, chains, format_conversations, read_back
 from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.jaccard_join import jaccard_components
@@ -80,9 +80,16 @@ def test_jaccard_links_are_all_counted(spark, docs, monkeypatch, block):
     assert "n_links" not in jaccard_components(both, buckets=5, links=False).columns
 
 
-def test_remove_repeats(docs):
+@pytest.mark.parametrize("buckets, chunk", [(1, 6_000_000), (4, 20_000), (200, 1)])
+def test_remove_repeats(spark, docs, monkeypatch, buckets, chunk):
+    """Chunks of all texts and of one, few and many ranges; rows of one id with equal and with other texts."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
     df, rows = docs
-    got = remove_repeats(df, buckets=4)
+    line = " ".join(f"l{i}" for i in range(25))
+    more = [(30_000 + i, f"{line} own{i} " + (line if i % 3 == 0 else "")) for i in range(30)] + [(30_003, f"other {line}"), (30_003, f"other {line}"), (None, line)]
+    rows = [*rows, *((*m, None) for m in more)]
+    df = df.select("doc_id", "text", "bucket", "key").union(spark.createDataFrame([(*m, 1, "x") for m in more], "doc_id long, text string, bucket int, key string"))
+    got = remove_repeats(df, buckets=buckets)
     assert order(tuples(got.select("doc_id", "n_words", "n_removed", "kept"))) == order(without_repeats(rows))
     for r in got.collect():
         assert sum(s.end - s.start for s in r.intervals) == r.n_removed
