@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Give back the disk of a job's shuffles when it ends, not when the driver's memory happens to be collected.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # Parse a wide JSON column once per row instead of once per used field.
     "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
 }
