@@ -83,14 +83,13 @@ GENERATIONS = """generations AS (
     TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(conv_id % 700 AS INTEGER) AS created_at
   FROM conversations WHERE role = 'assistant')"""
 
-RESPONSES = EV + """, texts AS (
-  SELECT conv_id % 100 AS k, arg_min(text, (conv_id, turn)) AS text FROM conversations WHERE role = 'user' GROUP BY 1
-), responses AS (
-  SELECT event_id AS response_id, 's' || (e.k % 2) AS survey_id, visitor_id, created_at, e.k % 4 <> 0 AS completed,
-    e.k % 11 AS score,
-    (CASE e.k % 4 WHEN 0 THEN 'love the ' WHEN 1 THEN 'slow and confusing ' WHEN 2 THEN '' ELSE 'great ' END)
-      || coalesce(substring(text, 1, 40), 'none given') AS comment
-  FROM ev e LEFT JOIN texts t ON e.k = t.k WHERE event = 'signup')"""
+RESPONSES = """responses AS (
+  SELECT conv_id || ':' || turn AS response_id, 's' || (conv_id % 2) AS survey_id, CAST(conv_id % 1000 AS VARCHAR) AS visitor_id,
+    TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(conv_id % 700 AS INTEGER) + INTERVAL 1 MINUTE * CAST(turn AS INTEGER) AS created_at,
+    conv_id % 4 <> 0 AS completed, (conv_id + turn) % 11 AS score,
+    (CASE conv_id % 4 WHEN 0 THEN 'love the ' WHEN 1 THEN 'slow and confusing ' WHEN 2 THEN '' ELSE 'great ' END)
+      || coalesce(text, 'none given') AS comment
+  FROM conversations WHERE role = 'user')"""
 
 CONVERSIONS = """conversions AS (
   SELECT session_id, arg_min(visitor_id, (created_at, event_id)) AS visitor_id, min(created_at) AS created_at,

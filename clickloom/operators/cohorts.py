@@ -1,13 +1,19 @@
-"""Dynamic and static person cohorts."""
+"""Dynamic and static person cohorts.
+
+Criteria are flags of a visitor. One grouped pass over the events, one over the
+sessions, one over the profiles and one over stored members give every visitor
+a row of flags, whatever the number of cohorts and criteria; trees, negations
+and references to other cohorts are boolean expressions on that row.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickloom.functions import calendar
 from clickloom.functions.props import PropertyFilter, and_filters, predicate
@@ -73,67 +79,117 @@ def _back(now: datetime, interval: str, n: int) -> datetime:
     return now - timedelta(hours=n) if interval == "hour" else now - timedelta(days=DAYS[interval] * n)
 
 
-def _behaviour(p: People, c: Behavior, now: datetime) -> DataFrame:
-    """Visitors of one behaviour, from one grouped pass over its events."""
-    if c.value not in BEHAVIOURS:
-        raise ValueError(f"unknown behaviour {c.value!r}")
-    start, at = _back(now, c.time_interval, c.time_value), F.col("created_at")
-    lower = {
-        "performed_event_regularly": _back(now, c.time_interval, c.total_periods or 0),
-        "performed_event_first_time": None,
-        "restarted_performing_event": None,
-    }.get(c.value, start)
-    rows = p.events.filter((F.col("event") == c.key) & (at < calendar.instant(str(now))))
-    if lower is not None:
-        rows = rows.filter(at >= calendar.instant(str(lower)))
-    by = rows.filter(and_filters(c.event_properties)).groupBy("visitor_id")
-    visitor = F.col("visitor_id")
-    if c.value == "performed_event":
-        return by.agg(F.lit(1).alias("_")).select(visitor)
-    if c.value == "performed_event_first_time":
-        return by.agg(F.min(at).alias("t")).filter(F.col("t") >= calendar.instant(str(start))).select(visitor)
-    if c.value == "performed_event_regularly":
-        periods = F.count_distinct(F.date_trunc(c.time_interval, at))
-        return by.agg(periods.alias("n")).filter(F.col("n") >= c.min_periods).select(visitor)
-    if c.value == "performed_event_multiple":
-        n = by.agg(F.count("*").alias("n"))
-        tests = {"gte": F.col("n") >= c.count, "lte": F.col("n") <= c.count, "exact": F.col("n") == c.count}
-        out = n.filter(tests[c.count_operator]).select(visitor)
-        if c.count_operator == "lte" or c.count == 0:
-            out = out.union(p.universe().join(n, "visitor_id", "left_anti")).distinct()
-        return out
-    recent_start = calendar.instant(str(_back(now, c.time_interval, c.seq_time_value or 0)))
-    window_start = calendar.instant(str(start))
-    flags = by.agg(
-        F.bool_or(at >= recent_start).alias("recent"),
-        F.bool_or((at >= window_start) & (at < recent_start)).alias("earlier"),
-        F.bool_or(at < window_start).alias("before"),
-    )
-    if c.value == "stopped_performing_event":
-        return flags.filter("earlier and not recent").select(visitor)
-    return flags.filter("recent and not earlier and before").select(visitor)
+class _Flags:
+    """The criteria of a set of cohorts: what each needs of the facts, and its test of a visitor's row."""
+
+    def __init__(self, now: datetime):
+        self.now, self.known = now, {}
+        self.matches: list[Column] = []
+        self.events: dict[str, Column] = {}
+        self.profiles: dict[str, Column] = {}
+        self.members: dict[str, Column] = {}
+
+    def _behaviour(self, c: Behavior, name: str) -> Column:
+        if c.value not in BEHAVIOURS:
+            raise ValueError(f"unknown behaviour {c.value!r}")
+        instant = lambda t: calendar.instant(str(t))
+        start, at = _back(self.now, c.time_interval, c.time_value), F.col("created_at")
+        lower = {
+            "performed_event_regularly": _back(self.now, c.time_interval, c.total_periods or 0),
+            "performed_event_first_time": None,
+            "restarted_performing_event": None,
+        }.get(c.value, start)
+        rows = (F.col("event") == c.key) & (at < instant(self.now))
+        if lower is not None:
+            rows = rows & (at >= instant(lower))
+        self.matches.append(rows)
+        own = F.coalesce(rows & and_filters(c.event_properties), F.lit(False))
+        if c.value == "performed_event":
+            self.events[name] = F.bool_or(own)
+            return F.coalesce(name, F.lit(False))
+        if c.value == "performed_event_first_time":
+            self.events[name] = F.min(F.when(own, at))
+            return F.coalesce(F.col(name) >= instant(start), F.lit(False))
+        if c.value == "performed_event_regularly":  # at most one entry per period since ``lower``
+            self.events[name] = F.size(F.collect_set(F.when(own, F.date_trunc(c.time_interval, at))))
+            return F.coalesce(F.col(name) >= c.min_periods, F.lit(False))
+        if c.value == "performed_event_multiple":
+            self.events[name] = F.count_if(own)
+            n = F.coalesce(name, F.lit(0))
+            fits = {"gte": n >= c.count, "lte": n <= c.count, "exact": n == c.count}[c.count_operator]
+            nobody = F.lit(c.count_operator == "lte" or c.count == 0)
+            return F.when(n > 0, fits).otherwise(nobody & F.col("known"))
+        recent = at >= instant(_back(self.now, c.time_interval, c.seq_time_value or 0))
+        since = at >= instant(start)
+        parts = {"recent": recent, "earlier": since & ~recent, "before": ~since}
+        for part, test in parts.items():
+            self.events[f"{name}_{part}"] = F.bool_or(own & test)
+        seen = {part: F.coalesce(f"{name}_{part}", F.lit(False)) for part in parts}
+        if c.value == "stopped_performing_event":
+            return seen["earlier"] & ~seen["recent"]
+        return seen["recent"] & ~seen["earlier"] & seen["before"]
+
+    def test(self, c: Person | InCohort | Behavior, cohorts: dict[str, Group]) -> Column:
+        """Whether the row of a visitor meets the criterion; equal criteria are computed once."""
+        bare = repr(replace(c, negation=False))
+        if bare not in self.known:
+            name = f"f{len(self.known)}"
+            if isinstance(c, Person):
+                self.profiles[name] = F.bool_or(F.coalesce(predicate(PropertyFilter(c.key, c.operator, c.value, "person")), F.lit(False)))
+                self.known[bare] = F.coalesce(name, F.lit(False))
+            elif isinstance(c, Behavior):
+                self.known[bare] = self._behaviour(c, name)
+            elif c.key in cohorts:
+                self.known[bare] = F.col(f"in_{list(cohorts).index(c.key)}")
+            else:
+                self.members[name] = F.bool_or(F.col("cohort_id") == c.key)
+                self.known[bare] = F.coalesce(name, F.lit(False))
+        return F.col("known") & ~self.known[bare] if c.negation else self.known[bare]
+
+    def tree(self, group: Group, cohorts: dict[str, Group]) -> Column:
+        parts = [self.tree(v, cohorts) if isinstance(v, Group) else self.test(v, cohorts) for v in group.values]
+        if not parts:
+            return F.lit(False)
+        return reduce(Column.__or__ if group.join == "OR" else Column.__and__, parts)
+
+    def rows(self, p: People) -> DataFrame:
+        """One row of flags per visitor; ``known`` marks those with a session or a profile."""
+        sources = [p.sessions.groupBy("visitor_id").agg(F.lit(True).alias("known"))]
+        sources.append(p.profiles.groupBy("visitor_id").agg(F.lit(True).alias("known"), *[c.alias(n) for n, c in self.profiles.items()]))
+        if self.events:
+            rows = p.events.filter(reduce(Column.__or__, self.matches))
+            sources.append(rows.groupBy("visitor_id").agg(*[c.alias(n) for n, c in self.events.items()]))
+        if self.members:
+            if p.members is None:
+                raise ValueError("a criterion refers to a cohort that is neither given nor stored")
+            sources.append(p.members.groupBy("visitor_id").agg(*[c.alias(n) for n, c in self.members.items()]))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+        flags = [F.max(n).alias(n) for n in rows.columns if n not in ("visitor_id", "known")]
+        return rows.groupBy("visitor_id").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"), *flags)
+
+
+def flagged(p: People, cohorts: dict[str, Group], now: str) -> DataFrame:
+    """``visitor_id`` and one column of flags, ``in_0`` and so on in the order of evaluation, for every visitor found.
+
+    Cohorts may refer to each other; a cohort that is not among ``cohorts`` is
+    looked up in the stored members.
+    """
+    ordered = {name: cohorts[name] for name in evaluation_order(cohorts)}
+    flags = _Flags(datetime.fromisoformat(now))
+    tests = [flags.tree(group, ordered) for group in ordered.values()]
+    rows = flags.rows(p)
+    for i, test in enumerate(tests):
+        rows = rows.withColumn(f"in_{i}", test)
+    return rows.select("visitor_id", *[f"in_{i}" for i in range(len(tests))])
 
 
-def criterion(p: People, c: Person | InCohort | Behavior, now: datetime) -> DataFrame:
-    if isinstance(c, Person):
-        test = predicate(PropertyFilter(c.key, c.operator, c.value, "person"))
-        out = p.profiles.filter(test).select("visitor_id").distinct()
-    elif isinstance(c, InCohort):
-        out = p.members.filter(F.col("cohort_id") == c.key).select("visitor_id").distinct()
-    else:
-        out = _behaviour(p, c, now)
-    return p.universe().join(out, "visitor_id", "left_anti") if c.negation else out
+def members_of(p: People, group: Group, now: str) -> DataFrame:
+    """Visitors of a criteria tree: all parts for AND, any part for OR."""
+    return flagged(p, {"": group}, now).filter("in_0").select("visitor_id")
 
 
-def members_of(p: People, group: Group, now: str) -> DataFrame:
-    """Visitors of a criteria tree: intersection for AND, union for OR."""
-    at = datetime.fromisoformat(now)
-    if not group.values:
-        return p.profiles.select("visitor_id").limit(0)
-    parts = [members_of(p, v, now) if isinstance(v, Group) else criterion(p, v, at) for v in group.values]
-    if group.join == "OR":
-        return reduce(DataFrame.union, parts).distinct()
-    return reduce(DataFrame.intersect, parts)
+def criterion(p: People, c: Person | InCohort | Behavior, now: datetime) -> DataFrame:
+    return members_of(p, Group("AND", (c,)), str(now))
 
 
 def references(group: Group) -> set[str]:
@@ -165,13 +221,13 @@ def evaluation_order(cohorts: dict[str, Group]) -> list[str]:
 
 
 def recalculate(p: People, cohorts: dict[str, Group], now: str) -> DataFrame:
-    """``cohort_id, visitor_id`` of all cohorts, dependencies first."""
-    members = p.members
-    for name in evaluation_order(cohorts):
-        found = members_of(People(p.events, p.sessions, p.profiles, members), cohorts[name], now)
-        found = found.select(F.lit(name).alias("cohort_id"), "visitor_id")
-        members = found if members is None else members.filter(F.col("cohort_id") != name).unionByName(found)
-    return members
+    """``cohort_id, visitor_id`` of all cohorts; stored members of others are kept."""
+    names = evaluation_order(cohorts)
+    mine = F.array_compact(F.array(*[F.when(F.col(f"in_{i}"), F.lit(name)) for i, name in enumerate(names)]))
+    found = flagged(p, cohorts, now).select(F.explode(mine).alias("cohort_id"), "visitor_id")
+    if p.members is None:
+        return found
+    return p.members.filter(~F.col("cohort_id").isin(names)).select("cohort_id", "visitor_id").unionByName(found)
 
 
 def size_history(members: DataFrame, at: str) -> DataFrame:

@@ -212,23 +212,19 @@ class Demo:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Survey answers: a score on signups, a text taken from a user turn."""
-        texts = self.table("conversations").filter("role = 'user'").groupBy(
-            (F.col("conv_id") % 100).alias("k")
-        ).agg(F.min_by("text", F.struct("conv_id", "turn")).alias("text"))
-        base = self.ev.filter("event = 'signup'").join(F.broadcast(texts), "k", "left")
-        comment = F.concat(
-            pick(["love the ", "slow and confusing ", "", "great "], F.col("k")), F.coalesce(F.substring("text", 1, 40), F.lit("none given"))
-        )
+        """One survey response per user turn: a score, and the whole text as a comment."""
+        k = F.col("conv_id")
+        comment = F.concat(pick(["love the ", "slow and confusing ", "", "great "], k), F.coalesce("text", F.lit("none given")))
         answers = F.array(
-            F.struct(F.lit("nps").alias("question"), (F.col("k") % 11).cast("string").alias("answer")),
+            F.struct(F.lit("nps").alias("question"), ((k + F.col("turn")) % 11).cast("string").alias("answer")),
             F.struct(F.lit("comment").alias("question"), comment.alias("answer")),
         )
-        return base.select(
-            F.col("event_id").alias("response_id"),
-            F.concat(F.lit("s"), (F.col("k") % 2).cast("string")).alias("survey_id"),
-            "visitor_id", "created_at",
-            (F.col("k") % 4 != 0).alias("completed"),
+        return self.table("conversations").filter("role = 'user'").select(
+            F.concat_ws(":", k.cast("string"), F.col("turn").cast("string")).alias("response_id"),
+            F.concat(F.lit("s"), (k % 2).cast("string")).alias("survey_id"),
+            (k % 1000).cast("string").alias("visitor_id"),
+            (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(k % 700).cast("int"), mins=F.col("turn").cast("int"))).alias("created_at"),
+            (k % 4 != 0).alias("completed"),
             F.to_json(answers).alias("answers"),
         )
 
