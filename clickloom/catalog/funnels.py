@@ -70,6 +70,18 @@ def _(m):
     return _flat(N.outcomes(m.stream(), replace(Q, order="strict"))).drop("bd")
 
 
+@query("UDA01_one_actor", f"""WITH {EV}, f AS (SELECT * FROM ev WHERE event IN ('$pageview', 'click') AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-22'),
+    e AS (SELECT event, created_at AS t, event_id AS id, first_value(CASE WHEN event = 'click' THEN created_at END IGNORE NULLS) OVER (
+      ORDER BY created_at, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM f)
+    SELECT 'all' AS actor, CAST(CASE WHEN coalesce(n - t <= {W}, false) THEN 2 ELSE 1 END AS INTEGER) AS reached, epoch_us(t) AS us0, CASE WHEN n - t <= {W} THEN epoch_us(n) END AS us1
+    FROM e WHERE event = '$pageview' AND t < TIMESTAMP '2024-01-20' ORDER BY reached DESC, t, id LIMIT 1""")
+def _(m):
+    """All events as those of one actor."""
+    one = m.stream().withColumn("visitor_id", F.lit("all"))
+    found = N.outcomes(one, replace(Q, steps=STEPS[:2]))
+    return _flat(found).select("actor", "reached", "us0", "us1")
+
+
 @query("UDA02_next_match", f"""WITH {EV} SELECT event_id, (SELECT x.event_id FROM ev x WHERE x.visitor_id = e.visitor_id AND x.event = 'purchase'
     AND (x.created_at, x.event_id) > (e.created_at, e.event_id) ORDER BY x.created_at, x.event_id LIMIT 1) AS next_purchase FROM ev e""")
 def _(m):

@@ -1,10 +1,12 @@
 """Neighbour and running-total operations along keyed timelines.
 
 A key may hold a large part of all rows, so no operation here needs a whole
-key in one task. Keys above ``max_rows`` are cut into time slots of about that
-many rows. Every slot is processed on its own, one summary row per slot is
-carried along the key, and the carried value completes the slot's edge rows.
-Keys below the limit stay in one slot.
+key in one task. The rows of keys above ``max_rows`` are dealt by ranges of (key,
+time, tie), whose bounds are quantiles, and ranges above the limit are dealt
+again, so that a burst, or many rows of one instant, is cut like any other
+stretch. The part of a key in one range is a slot. Every slot is processed on
+its own, one summary row per slot is carried along the key, and the carried
+value completes the slot's edge rows. Keys below the limit stay in one slot.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.plans.small import BROADCAST_ROWS
 from clickloom.session import cut_lineage
 
 MAX_ROWS = 1_000_000
@@ -62,34 +63,25 @@ class Timeline:
         max_rows: int = MAX_ROWS,
     ):
         self.keys, self.ts, self.tie, self.max_rows = list(keys), ts, list(tie), max_rows
-        hot = (
-            df.groupBy(*self.keys)
-            .agg(
-                F.count("*").alias("_n"),
-                F.min(ts).alias("_t0"),
-                F.max(ts).alias("_t1"),
-            )
-            .filter(F.col("_n") > max_rows)
-        )
-        n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+        counts = df.groupBy(*self.keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
+        n_hot = counts.agg(F.sum("_n")).first()[0] or 0
         self.split = n_hot > 0
-        self.df = self._with_slots(df, hot, n_hot <= BROADCAST_ROWS) if self.split else df
-
-    def _with_slots(self, df: DataFrame, hot: DataFrame, broadcast: bool) -> DataFrame:
-        span = F.unix_micros("_t1") - F.unix_micros("_t0") + F.lit(1)
-        slots = F.ceil(F.col("_n") * 2 / F.lit(self.max_rows))
-        bounds = hot.select(
-            *self.keys,
-            F.unix_micros("_t0").alias("_start"),
-            F.ceil(span / slots).cast("long").alias("_width"),
-        )
-        joined = df.join(F.broadcast(bounds) if broadcast else bounds, self.keys, "left")
-        slot = F.floor((F.unix_micros(F.col(self.ts).cast("timestamp")) - F.col("_start")) / F.col("_width"))
-        return cut_lineage(
-            joined.withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("long"))
-            .withColumn("_hot", F.col("_start").isNotNull())
-            .drop("_start", "_width")
-        )
+        self.df = self._with_slots(df, counts.select(*self.keys), n_hot) if self.split else df
+
+    def _with_slots(self, df: DataFrame, hot: DataFrame, n: int) -> DataFrame:
+        order = [*self.keys, self.ts, *self.tie]
+        rows = df.join(hot, self.keys, "left_semi")
+        parts = -(-2 * n // self.max_rows)
+        while True:
+            dealt = cut_lineage(rows.repartitionByRange(parts, *order).withColumn("_slot", F.spark_partition_id().cast("long")))
+            place = F.struct(*order)
+            slots = dealt.groupBy(*self.keys, "_slot").agg(F.count("*").alias("_k"), F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+            # Rows that are equal in key, time and tie have no order and stay together.
+            if slots.filter((F.col("_k") > self.max_rows) & ~F.col("_lo").eqNullSafe(F.col("_hi"))).isEmpty():
+                break
+            parts *= 2
+        cold = df.join(hot, self.keys, "left_anti").withColumn("_slot", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
+        return cold.unionByName(dealt.withColumn("_hot", F.lit(True)))
 
     def with_columns(self, steps: dict[str, Step]) -> "Timeline":
         """Add one column per step; all steps share one shuffle and one sort."""

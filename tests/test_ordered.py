@@ -59,3 +59,21 @@ def test_null_values_count_as_values(spark):
         line = Timeline(df.withColumn("k", F.lit("a")), ["k"], "ts", ["id"], max_rows)
         out = line.with_columns({"p": Previous(F.col("v")), "n": Following(F.col("v"))}).result()
         assert [(r.p, r.n) for r in out.orderBy("id").collect()] == [(None, "b"), (None, None), ("b", None)]
+
+
+def test_a_burst_and_one_instant_are_cut_by_rank(spark):
+    """Nearly all rows of one key lie in one second, many at one instant; no slot is above the limit."""
+    rng = random.Random(8)
+    seconds = [0, 86_400 * 300] + [86_400 * 100 + rng.randrange(0, 2) for _ in range(600)]
+    rows = [(i, "a" if i % 50 else "b", t, rng.choice("xyz")) for i, t in enumerate(seconds)]
+    want = _brute(rows)
+    split, got = _spark(spark, rows, 40)
+    assert split and got == want
+    df = spark.createDataFrame(rows, "id long, key string, sec long, kind string").withColumn("ts", F.timestamp_seconds("sec"))
+    line = Timeline(df, ["key"], "ts", ["id"], 40)
+    sizes = line.df.groupBy("key", "_slot").count().collect()
+    assert max(r["count"] for r in sizes) <= 40 and sum(r["count"] for r in sizes) == len(rows)
+    same = spark.createDataFrame([(1, "a", 5)] * 30, "id long, key string, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    assert Timeline(same, ["key"], "ts", ["id"], 4).df.count() == 30
+    none = spark.createDataFrame([(i, None, i, "x") for i in range(30)], "id long, key string, sec long, kind string").withColumn("ts", F.timestamp_seconds("sec"))
+    assert Timeline(none, ["key"], "ts", ["id"], 4).df.count() == 30
