@@ -38,7 +38,10 @@ RANGE_BYTES = 16_000_000  # text per range of hashes
 LOT = 1_000  # sets of small components that one call counts
 KEY = np.dtype("S16")
 SETS = f"{PACKED}, ids array<bigint>"
-FOUND = "doc_id bigint, key binary, n bigint, rare array<bigint>, common array<bigint>"
+FOUND = "doc_id bigint, key binary, n bigint, block int, packed binary"
+GATHERED = "key binary, n bigint, rare array<bigint>, common array<bigint>"
+#: What one range of hashes has of a set: its key and size and how many of its rare and common shingles others have too.
+PIECE = np.dtype([("key", KEY), ("n", "<i8"), ("rare", "<i4"), ("common", "<i4")])
 
 
 def _pack(buckets: int):
@@ -62,19 +65,19 @@ def _pack(buckets: int):
     return pack
 
 
-def _count(common: int):
-    """Of one range of hashes: the shingles of each set that other sets have too, by class."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))])
+def _binaries(keys: np.ndarray) -> pa.Array:
+    return pa.array([k.ljust(16, b"\0") if k else None for k in keys.tolist()], pa.binary())
 
-    def binaries(keys: np.ndarray) -> pa.Array:
-        return pa.array([k.ljust(16, b"\0") if k else None for k in keys.tolist()], pa.binary())
+
+def _count(common: int, blocks: int):
+    """Of one range of hashes: the shingles of each set that other sets have too, by class, packed by block of sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("block", pa.int32()), ("packed", pa.binary())])
 
     def count(table: pa.Table) -> pa.Table:
         keys, sizes, counts, hashes = unpacked(table, KEY)
         if table.column("bucket")[0].as_py() < 0:
             ids = table.column("ids").combine_chunks().flatten()
-            none = pa.nulls(len(keys), pa.list_(pa.int64()))
-            return pa.Table.from_arrays([ids, binaries(keys), pa.array(sizes), none, none], schema=schema)
+            return pa.Table.from_arrays([ids, _binaries(keys), pa.array(sizes), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], schema=schema)
         first = np.zeros(len(keys), bool)
         first[np.unique(keys, return_index=True)[1]] = True  # equal sets of other chunks have equal hashes here
         hashes, keys, sizes, counts = hashes[np.repeat(first, counts)], keys[first], sizes[first], counts[first]
@@ -84,21 +87,54 @@ def _count(common: int):
         df = np.empty(len(hashes), np.int64)
         df[order] = np.repeat(np.diff(edges), np.diff(edges))
         owner = np.repeat(np.arange(len(keys)), counts)
-        lists = []
-        for mask in ((df > 1) & (df <= common), df > common):
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[mask], minlength=len(keys)))])
-            lists.append((hashes[mask].view(np.int64), offsets))
-        some = np.flatnonzero(sum(np.diff(o) for _, o in lists))
-        arrays = [listed(v, o).take(pa.array(some)) for v, o in lists]
-        return pa.Table.from_arrays([pa.nulls(len(some), pa.int64()), binaries(keys[some]), pa.array(sizes[some]), *arrays], schema=schema)
+        shared = df > 1
+        often = (df > common)[shared]
+        hashes, owner = hashes[shared], owner[shared]
+        block = np.array([int.from_bytes(k.ljust(8, b"\0")[:8], "little") % blocks for k in keys.tolist()], np.int64)
+        order = np.lexsort((often, owner, block[owner]))  # by set, rare ones first
+        hashes, owner, often = hashes[order], owner[order], often[order]
+        ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+        pieces = np.zeros(len(ends), PIECE)
+        of = owner[ends - 1]
+        pieces["key"], pieces["n"] = keys[of], sizes[of]
+        pieces["common"] = np.diff(np.concatenate([[0], np.cumsum(often)[ends - 1]])) if len(ends) else 0
+        pieces["rare"] = np.diff(ends, prepend=0) - pieces["common"]
+        cuts = np.flatnonzero(np.diff(block[of], prepend=-1, append=-1))
+        starts = np.concatenate([[0], ends])
+        rows = [(int(block[of[i]]), len(pieces[i:j]).to_bytes(8, "little") + pieces[i:j].tobytes() + hashes[starts[i] : starts[j]].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        none = [pa.nulls(len(rows), f.type) for f in list(schema)[:3]]
+        return pa.Table.from_arrays([*none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     return count
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """The shared shingles of the sets of one block, in order, where they are at least 3/4 of a set."""
+    pieces, hashes = [], []
+    for data in table.column("packed").to_pylist():
+        end = 8 + int.from_bytes(data[:8], "little") * PIECE.itemsize
+        pieces.append(np.frombuffer(data[8:end], PIECE))
+        hashes.append(np.frombuffer(data[end:], np.int64))
+    pieces, hashes = np.concatenate(pieces), np.concatenate(hashes)
+    keys, first, at = np.unique(pieces["key"], return_index=True, return_inverse=True)
+    counts = np.stack([pieces["rare"], pieces["common"]], axis=1).ravel()
+    often = np.repeat(np.tile([0, 1], len(pieces)), counts)
+    owner = np.repeat(np.repeat(at, 2), counts)
+    sizes = pieces["n"][first]
+    enough = 4 * np.bincount(owner, minlength=len(keys)) >= 3 * sizes
+    lists = []
+    for kind in (0, 1):
+        mine = (often == kind) & enough[owner]
+        order = np.lexsort((hashes[mine], owner[mine]))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[mine], minlength=len(keys))[enough])])
+        lists.append(listed(hashes[mine][order], offsets))
+    return pa.table([_binaries(keys[enough]), pa.array(sizes[enough]), *lists], names=["key", "n", "rare", "common"])
+
+
 def shared_shingles(documents: DataFrame, buckets: int, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document (its set's key and size) and rows of shared shingles per set and hash range."""
+    """One row per document (its set's key and size) and packed rows of shared shingles per block of sets and hash range."""
     rows = documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack(buckets), SETS)
-    return rows.groupBy("bucket").applyInArrow(_count(common), FOUND)
+    return rows.groupBy("bucket").applyInArrow(_count(common, buckets), FOUND)
 
 
 def index_keys(sets: DataFrame) -> DataFrame:
@@ -312,9 +348,8 @@ def jaccard_components(documents: DataFrame, buckets: int | None = None, common:
     """
     buckets = buckets or 1 + (documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // RANGE_BYTES
     found = cut_lineage(shared_shingles(documents, buckets, common, id_col, text_col))
-    docs = found.filter("rare is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    gathered = found.filter("rare is not null").groupBy("key", "n").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("rare", "common")])
-    sets = cut_lineage(gathered.filter(4 * (F.size("rare") + F.size("common")) >= 3 * F.col("n")))
+    docs = found.filter("block is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
+    sets = cut_lineage(found.filter("block is not null").groupBy("block").applyInArrow(_gather, GATHERED))
     components = cut_lineage(set_components(sets).select(F.col("node").alias("key"), "component"))
 
     classes = cut_lineage(docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size")))
