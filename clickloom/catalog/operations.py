@@ -12,7 +12,9 @@ from clickloom.operators import alerts as A, experiments as X, governance as G,
 from clickloom.operators.alerts import Rule
 from clickloom.operators.experiments import ConfigEntry, Flag, Goal
 from clickloom.operators.trends import page
+from clickloom.session import new_folder
 from clickloom.sources.demo import pick
+from clickloom.sources.people_files import delete_visitors, visitor_rows, write_by_visitor
 
 NOW = "2024-01-30 20:00:00"
 
@@ -442,6 +444,22 @@ def _(m):
     return out.groupBy("visitor_id", "table").agg(F.count("*").alias("records"), F.sum(F.get_json_object("record", "$.k").cast("long")).alias("k_sum"))
 
 
+@query("SRC39_export_from_files", f"WITH {EV} SELECT visitor_id, event_id FROM ev WHERE visitor_id IN ('7', '57', '107')")
+def _(m):
+    """Rows of three visitors, looked up in files that are dealt and sorted by visitor."""
+    path = new_folder(m.spark, "events_by_visitor")
+    write_by_visitor(m.ev.select("visitor_id", "event_id", "created_at"), path, 32)
+    return visitor_rows(m.spark, path, ["7", "57", "107"], 32).select("visitor_id", "event_id")
+
+
+@query("SRC40_delete_in_files", f"WITH {EV} SELECT visitor_id, count(*) AS n FROM ev WHERE visitor_id NOT IN ('7', '57', '107') GROUP BY 1")
+def _(m):
+    path = new_folder(m.spark, "events_by_visitor")
+    write_by_visitor(m.ev.select("visitor_id", "event_id", "created_at"), path, 32)
+    delete_visitors(m.spark, path, ["7", "57", "107"], 32)
+    return m.spark.read.parquet(path).groupBy("visitor_id").agg(F.count("*").alias("n"))
+
+
 @query("SRC40_people_delete", f"WITH {EV} SELECT visitor_id, CASE WHEN event = '$pageview' THEN 'pageviews' ELSE 'events' END AS \"table\", count(*) AS deleted FROM ev WHERE uid % 50 = 7 GROUP BY 1, 2 UNION ALL SELECT 'kept', 'pageviews', count(*) FROM ev WHERE uid % 50 <> 7 AND event = '$pageview'")
 def _(m):
     who = m.profiles.filter("uid % 50 = 7").select("visitor_id")
@@ -458,16 +476,29 @@ def _(m):
     return enrich.with_device(m.ev.select("event_id", pick(_AGENTS, F.col("k")).alias("user_agent"))).drop("user_agent")
 
 
+def _networks(m):
+    """Ten IPv4 blocks of 65,536 addresses for each of five nations inside two wide networks, and IPv6 networks of three lengths."""
+    empty = [F.lit(None).cast("string").alias(c) for c in ("region", "city")]
+    nation = m.table("nation").filter("n_nationkey < 5")
+    tens = nation.withColumn("i", F.explode(F.sequence(F.col("n_nationkey") * 10, F.col("n_nationkey") * 10 + 9)))
+    fine = tens.select(F.concat(F.lit("10."), F.col("i").cast("string"), F.lit(".0.0/16")).alias("network"), F.col("n_name").alias("country"), *empty)
+    six = nation.select(F.concat(F.lit("2001:db8:"), F.lower(F.hex("n_nationkey")), F.lit("00::/40")).alias("network"), F.concat(F.lit("six "), F.col("n_name")).alias("country"), *empty)
+    wide = m.spark.createDataFrame([("10.80.0.0/12", "Wide"), ("10.96.0.0/11", "Wide"), ("2001:db8::/32", "Six"), ("2001:DB8:0:0:0:0:0:7/128", "Host")], "network string, country string")
+    return fine.unionByName(six).unionByName(wide.select("network", "country", *empty))
+
+
+@query("SCL31_locate_ip6", f"""WITH {EV} SELECT event_id, CASE WHEN k = 0 THEN 'Host' WHEN k < 5 THEN 'six NATION_' || k WHEN k < 90 THEN 'Six' END AS country FROM ev""")
+def _(m):
+    k, tail = F.col("k"), F.lit("::7")
+    address = F.when(k == 0, "2001:db8::7").when(k < 5, F.concat(F.lit("2001:0db8:"), k.cast("string"), F.lit("a1:"), F.lit("1::"), F.lower(F.hex(F.col("event_id") % 65536))))
+    address = address.when(k < 90, F.concat(F.lit("2001:DB8:f"), F.lpad(k.cast("string"), 3, "0"), tail)).when(k < 95, "2001:db9::1").otherwise("no address")
+    return enrich.locate(m.ev.select("event_id", address.alias("ip")), _networks(m)).select("event_id", "country")
+
+
 @query("SCL31_locate_ip", f"WITH {EV} SELECT event_id, CASE WHEN k < 50 THEN 'NATION_' || (k // 10) WHEN k >= 80 THEN 'Wide' END AS country FROM ev")
 def _(m):
-    nets = m.table("nation").filter("n_nationkey < 5").select(
-        (F.lit(10 * 256**3) + F.col("n_nationkey") * 65536 * 10).alias("first"), (F.lit(10 * 256**3) + (F.col("n_nationkey") + 1) * 65536 * 10 - 1).alias("last"),
-        F.col("n_name").alias("country"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("city"))
-    wide = m.spark.range(1).select(
-        F.lit(10 * 256**3 + 80 * 65536).alias("first"), F.lit(10 * 256**3 + 200 * 65536).alias("last"),
-        F.lit("Wide").alias("country"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("city"))
     rows = m.ev.select("event_id", F.concat(F.lit("10."), F.col("k").cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".7")).alias("ip"))
-    return enrich.locate(rows, nets.unionByName(wide)).select("event_id", "country")
+    return enrich.locate(rows, _networks(m)).select("event_id", "country")
 
 
 @query("SCL32_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'error|bug|exception|crash') THEN 'errors' WHEN regexp_matches(q, 'page|url|landing') THEN 'top_pages' WHEN regexp_matches(q, 'referrer|source|utm|campaign|channel') THEN 'referrers' WHEN regexp_matches(q, 'event|conversion|click|signup|purchase') THEN 'events' WHEN regexp_matches(q, 'device|browser|os|mobile|desktop') THEN 'devices' WHEN regexp_matches(q, 'country|geo|region|city|location') THEN 'geo' WHEN regexp_matches(q, 'trend|over time|timeseries|daily') THEN 'traffic_trend' ELSE 'overview' END AS intent FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user')")

@@ -9,6 +9,8 @@ from clickloom.catalog.registry import query
 from clickloom.functions import channels as C
 from clickloom.operators import marketing as M, reports as R, rollups as U
 from clickloom.operators.reports import Span
+from clickloom.session import new_folder
+from clickloom.sources.tables import month_of
 
 SPAN = Span("2024-01-10 00:00:00", "2024-01-30 18:00:00", "2024-01-30")
 PREV = Span("2023-12-20 06:00:00", "2024-01-09 23:59:59", "2024-01-30")
@@ -91,6 +93,37 @@ def _(m):
     return R.period_stats(m.pageviews, m.sessions, U.daily_stats(m.pageviews, m.sessions), SPAN)
 
 
+def _stored(m):
+    """Facts in month folders and rollups of the days before today in date folders, written once and read again."""
+    folder = new_folder(m.spark, "warehouse")
+    m.pageviews.withColumn("month", month_of()).write.partitionBy("month").parquet(f"{folder}/pageviews")
+    m.sessions.withColumn("month", month_of("first_at")).write.partitionBy("month").parquet(f"{folder}/sessions")
+    past = F.col("date") < SPAN.today
+    U.write_days(U.daily_stats(m.pageviews, m.sessions).filter(past), f"{folder}/daily_stats")
+    U.write_days(U.daily_sketches(m.pageviews), f"{folder}/daily_sketches")
+    return [m.spark.read.parquet(f"{folder}/{t}") for t in ("pageviews", "sessions", "daily_stats", "daily_sketches")]
+
+
+@query("AGG10_stored_rollups", f"WITH {_STATS} SELECT * FROM stats")
+def _(m):
+    pageviews, sessions, daily, _ = _stored(m)
+    return R.period_stats(pageviews, sessions, daily, SPAN)
+
+
+@query("TOP06_floor_of_month_folders", f"WITH {EV} SELECT {ts('min(created_at)')} AS floor FROM ev WHERE event = '$pageview'")
+def _(m):
+    return R.raw_floor(_stored(m)[0])
+
+
+@query("AGG02_sketched_visitors", f"WITH {EV} SELECT project_id, count(DISTINCT visitor_id) AS exact, true AS within_bounds FROM ev WHERE event = '$pageview' AND {DAY} >= DATE '2024-01-10' AND {DAY} <= DATE '2024-01-30' GROUP BY 1")
+def _(m):
+    """Distinct visitors of 21 days from stored daily sketches: the exact number lies within the stated bounds."""
+    found = R.sketched_visitors(_stored(m)[3], SPAN, "project_id")
+    days = m.flat_pageviews.filter(F.to_date("created_at").between("2024-01-10", "2024-01-30"))
+    exact = days.groupBy("project_id").agg(F.count_distinct("visitor_id").alias("exact"))
+    return found.join(exact, "project_id").select("project_id", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within_bounds"))
+
+
 @query("AGG11_unique_visitors_floor", f"""WITH {EVS}, f AS (SELECT * FROM pv WHERE created_at >= TIMESTAMP '2024-01-15 03:00:00')
   SELECT CAST((SELECT count(DISTINCT visitor_id) FROM f WHERE {IN}) + (SELECT sum(n) FROM (SELECT count(DISTINCT visitor_id) AS n FROM pv
     WHERE {DAY} >= DATE '2024-01-10' AND {DAY} < (SELECT CAST(min(created_at) AS DATE) FROM f) GROUP BY {DAY}, project_id)) AS BIGINT) AS visitors""")

@@ -14,6 +14,9 @@ from clickloom.operators.rollups import device_keys, rounded
 from clickloom.operators.trends import page
 from clickloom.plans.small import with_row
 
+#: The partition column of fact tables in month folders.
+MONTH = "month"
+
 
 @dataclass(frozen=True)
 class Span:
@@ -30,7 +33,9 @@ class Span:
         )
 
     def raw(self, df: DataFrame, ts: str = "created_at") -> DataFrame:
-        """Rows of the range, whatever the day."""
+        """Rows of the range, whatever the day; of a table in month folders no other month is listed."""
+        if MONTH in df.columns:
+            df = df.filter(F.col(MONTH).between(F.date_format(instant(self.start), "yyyy-MM"), F.date_format(instant(self.end), "yyyy-MM")))
         return df.filter((F.col(ts) >= instant(self.start)) & (F.col(ts) <= instant(self.end)))
 
     def fresh(self, df: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -39,7 +44,14 @@ class Span:
 
 
 def raw_floor(df: DataFrame, ts: str = "created_at") -> DataFrame:
-    """The oldest retained raw time; answered from file statistics."""
+    """The oldest retained raw time.
+
+    Of a table in month folders the oldest month that has rows is found from
+    folder names and row counts, without reading a column, and only its times
+    are read. Another table is read in that one column.
+    """
+    if MONTH in df.columns:
+        df = df.filter(F.col(MONTH) == df.agg(F.min(MONTH).alias("oldest")).scalar())
     return df.agg(F.min(ts).alias("floor"))
 
 
@@ -52,6 +64,20 @@ def unique_visitors(pageviews: DataFrame, daily: DataFrame, span: Span) -> DataF
     return raw.unionByName(old.agg(F.coalesce(F.sum("visitors"), F.lit(0)).alias("n"))).agg(F.sum("n").alias("visitors"))
 
 
+def sketched_visitors(sketches: DataFrame, span: Span, *keys: str) -> DataFrame:
+    """``visitors_estimate, low, high`` of the range from daily sketches, whatever its length.
+
+    The bounds are three standard errors of the sketch, that is 3 * 1.04 /
+    sqrt(2 ** k) of the estimate, with a chance of some 0.3 % to miss.
+    """
+    start, end = F.to_date(instant(span.start)), F.to_date(instant(span.end))
+    days = sketches.filter(F.col("date").between(start, end))
+    merged = days.groupBy(*keys).agg(F.hll_union_agg("visitor_sketch").alias("s"), F.max("sketch_k").alias("k"))
+    estimate = F.coalesce(F.hll_sketch_estimate("s"), F.lit(0)).cast("long")
+    error = 3 * 1.04 / F.sqrt(F.pow(F.lit(2.0), F.col("k")))
+    return merged.select(*keys, estimate.alias("visitors_estimate"), F.floor(estimate * (1 - error)).alias("low"), F.ceil(estimate * (1 + error)).alias("high"))
+
+
 def period_stats(pageviews: DataFrame, sessions: DataFrame, daily: DataFrame, span: Span) -> DataFrame:
     """One row: views, exact visitors, sessions, bounces and total duration."""
     names = ["pageviews", "sessions", "bounces", "total_duration_ms"]

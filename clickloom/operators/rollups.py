@@ -33,6 +33,12 @@ def daily_stats(pageviews: DataFrame, sessions: DataFrame) -> DataFrame:
     return views.join(visits, KEYS, "left").fillna(0, ["bounces", "total_duration_ms"])
 
 
+def daily_sketches(pageviews: DataFrame, k: int = 14) -> DataFrame:
+    """Per project and day a sketch of its visitors, 2 ** k bytes at most, which merges over days and projects."""
+    sketch = F.hll_sketch_agg("visitor_id", F.lit(k)).alias("visitor_sketch")
+    return _dated(pageviews, "created_at").groupBy(*KEYS).agg(sketch).withColumn("sketch_k", F.lit(k))
+
+
 def daily_pages(pageviews: DataFrame) -> DataFrame:
     return _dated(pageviews, "created_at").groupBy(*KEYS, "path").agg(
         F.count("*").alias("views"),
