@@ -34,7 +34,7 @@ COMMON = 16  # a shingle of more distinct sets than this is indexed in pairs
 SMALL = 16  # tokens of at most so many sets are compared as pairs, larger ones in blocks
 BLOCK = 256  # sets of a block
 COUNTED = 1_024  # sets of a block in which links are counted
-RANGE_BYTES = 16_000_000  # text per range of hashes
+RANGE_BYTES = 8_000_000  # text per range of hashes
 LOT = 1_000  # sets of small components that one call counts
 KEY = np.dtype("S16")
 SETS = f"{PACKED}, ids array<bigint>"
@@ -82,22 +82,26 @@ def _count(common: int, blocks: int):
         first[np.unique(keys, return_index=True)[1]] = True  # equal sets of other chunks have equal hashes here
         hashes, keys, sizes, counts = hashes[np.repeat(first, counts)], keys[first], sizes[first], counts[first]
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
-        df = np.empty(len(hashes), np.int64)
+        edges = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]], append=~hashes[order[-1:]]))
+        df = np.empty(len(hashes), np.int32)
         df[order] = np.repeat(np.diff(edges), np.diff(edges))
-        owner = np.repeat(np.arange(len(keys)), counts)
-        shared = df > 1
-        often = (df > common)[shared]
-        hashes, owner = hashes[shared], owner[shared]
+        del order
         block = np.array([int.from_bytes(k.ljust(8, b"\0")[:8], "little") % blocks for k in keys.tolist()], np.int64)
-        order = np.lexsort((often, owner, block[owner]))  # by set, rare ones first
-        hashes, owner, often = hashes[order], owner[order], often[order]
+        by = np.argsort(block, kind="stable")
+        keys, sizes, block = keys[by], sizes[by], block[by]
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by))
+        some = np.flatnonzero(df > 1)
+        often = df[some] > common
+        owner = np.repeat(place, counts)[some]
+        order = np.argsort(owner * 2 + often, kind="stable")  # by block and set, rare ones first
+        hashes, owner, often = hashes[some[order]], owner[order], often[order]
+        del some, order, df
         ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
         pieces = np.zeros(len(ends), PIECE)
         of = owner[ends - 1]
         pieces["key"], pieces["n"] = keys[of], sizes[of]
-        pieces["common"] = np.diff(np.concatenate([[0], np.cumsum(often)[ends - 1]])) if len(ends) else 0
+        pieces["common"] = np.diff(np.cumsum(often)[ends - 1], prepend=0)
         pieces["rare"] = np.diff(ends, prepend=0) - pieces["common"]
         cuts = np.flatnonzero(np.diff(block[of], prepend=-1, append=-1))
         starts = np.concatenate([[0], ends])
