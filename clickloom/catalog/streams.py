@@ -14,6 +14,7 @@ from clickloom.operators.alerts import Rule
 from clickloom.session import new_folder
 from clickloom.sources.demo import GAP, Demo
 from clickloom.streaming import jobs as J
+from clickloom.streaming.stateful import presence, spaced
 
 
 class StreamedDemo(Demo):
@@ -61,8 +62,11 @@ def _(m):
     return J.run_to_table(J.first_exposures(rows), "exposures").select("experiment_id", "visitor_id")
 
 
-@query("STR06_stream_alerts", f"""WITH RECURSIVE {EV}, w AS (SELECT time_bucket(INTERVAL 60 MINUTE, created_at) + INTERVAL 60 MINUTE AS e FROM ev WHERE event = 'error' GROUP BY 1 HAVING count(*) >= 3 AND time_bucket(INTERVAL 60 MINUTE, max(created_at)) + INTERVAL 60 MINUTE <= (SELECT max(created_at) FROM ev WHERE event = 'error')),
-  f(t) AS (SELECT min(e) FROM w UNION ALL SELECT (SELECT min(e) FROM w WHERE e >= f.t + INTERVAL 300 MINUTE) FROM f WHERE f.t IS NOT NULL) SELECT 'errors' AS rule_id, {ts('t')} AS triggered_at FROM f WHERE t IS NOT NULL""")
+_ALERTS = f"""WITH RECURSIVE {EV}, w AS (SELECT time_bucket(INTERVAL 60 MINUTE, created_at) + INTERVAL 60 MINUTE AS e FROM ev WHERE event = 'error' GROUP BY 1 HAVING count(*) >= 3 AND time_bucket(INTERVAL 60 MINUTE, max(created_at)) + INTERVAL 60 MINUTE <= (SELECT max(created_at) FROM ev WHERE event = 'error')),
+  f(t) AS (SELECT min(e) FROM w UNION ALL SELECT (SELECT min(e) FROM w WHERE e >= f.t + INTERVAL 300 MINUTE) FROM f WHERE f.t IS NOT NULL) SELECT 'errors' AS rule_id, {ts('t')} AS triggered_at FROM f WHERE t IS NOT NULL"""
+
+
+@query("STR06_stream_alerts", _ALERTS)
 def _(m):
     place = new_folder(m.spark, "alerts")
     counts = J.window_counts(_live(m).ev.filter("event = 'error'"), 60)
@@ -70,6 +74,34 @@ def _(m):
     return m.spark.read.parquet(f"{place}/alerts").select("rule_id", "triggered_at").distinct()
 
 
+@query("STR06_stateful_alerts", _ALERTS)
+def _(m):
+    """The cooldown as state with a timer instead of the written alerts."""
+    counts = J.window_counts(_live(m).ev.filter("event = 'error'"), 60)
+    hot = J.run_to_table(counts, "windows").filter("n >= 3").select(F.lit("errors").alias("rule_id"), F.col("window_end").alias("triggered_at"))
+    place = new_folder(m.spark, "hot")
+    hot.write.parquet(place)
+    return J.run_to_table(spaced(J.read_files(m.spark, place, hot.schema), ["rule_id"], 300 * 60, "triggered_at"), "alerts", stateful=True)
+
+
+@query("STR05_expiring_exposures", f"""WITH RECURSIVE {EV}, x AS (SELECT 'e' || (k % 3) AS experiment_id, visitor_id, created_at AS t FROM ev WHERE event = 'click'),
+  f(experiment_id, visitor_id, t) AS (SELECT experiment_id, visitor_id, min(t) FROM x GROUP BY 1, 2
+    UNION ALL SELECT f.experiment_id, f.visitor_id, min(x.t) FROM f JOIN x ON x.experiment_id = f.experiment_id AND x.visitor_id = f.visitor_id AND x.t >= f.t + INTERVAL 5 DAY GROUP BY 1, 2)
+  SELECT experiment_id, visitor_id, {ts('t')} AS created_at FROM f""")
+def _(m):
+    rows = _live(m).ev.filter("event = 'click'").select(F.concat(F.lit("e"), (F.col("k") % 3).cast("string")).alias("experiment_id"), "visitor_id", "created_at")
+    return J.run_to_table(spaced(rows, ["experiment_id", "visitor_id"], 5 * 86_400), "exposures", stateful=True)
+
+
+@query("STR03_presence", f"""WITH {EV}, g AS (SELECT project_id, visitor_id, created_at AS t, coalesce(created_at > lag(created_at) OVER w + INTERVAL 10 MINUTE, true) AS fresh FROM ev WINDOW w AS (PARTITION BY project_id, visitor_id ORDER BY created_at)),
+  n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY project_id, visitor_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS visit FROM g),
+  v AS (SELECT project_id, visitor_id, min(t) AS first, max(t) + INTERVAL 10 MINUTE AS gone FROM n GROUP BY project_id, visitor_id, visit)
+  SELECT project_id, visitor_id, 'online' AS state, {ts('first')} AS created_at FROM v
+  UNION ALL SELECT project_id, visitor_id, 'offline', {ts('gone')} FROM v WHERE gone <= (SELECT max(created_at) FROM ev)""")
+def _(m):
+    return J.run_to_table(presence(_live(m).ev, ["project_id", "visitor_id"]), "presence_states", stateful=True)
+
+
 @query("STR07_stream_spikes", f"""WITH {_BASE}, w AS (SELECT project_id, time_bucket(INTERVAL 10 MINUTE, created_at) AS s, count(*) * 6.0 AS rate FROM ev WHERE event = '$pageview' GROUP BY 1, 2)
   SELECT w.project_id, {ts('s')} AS window_start, {r4('rate')} AS rate, {r4('avg_pageviews * 20')} AS avg_pageviews FROM w JOIN base b ON b.project_id = w.project_id AND b.hour = hour(s) AND b.weekday = isodow(s) - 1
   WHERE avg_pageviews * 20 >= 1 AND rate / (avg_pageviews * 20) >= 0.5 AND s + INTERVAL 10 MINUTE <= (SELECT max(created_at) FROM ev WHERE event = '$pageview')""")

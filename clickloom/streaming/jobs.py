@@ -19,6 +19,7 @@ from clickloom.operators.privacy import PrivacySettings
 from clickloom.plans.small import with_row
 from clickloom.session import new_folder
 from clickloom.sources import ingest, tables
+from clickloom.streaming.stateful import ROCKSDB
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType | str, file_format: str = "parquet", glob: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -33,15 +34,25 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType | str, fil
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all present files into a table and read that table."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", stateful: bool = False) -> DataFrame:
+    """Drive a stream over all present files into a table and read that table.
+
+    ``stateful`` starts it with the state store that operators with timers need.
+    """
     spark = df.sparkSession
     place = new_folder(spark, name)
-    query = (
-        df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{place}/checkpoint")
-        .trigger(availableNow=True).start(f"{place}/table")
-    )
-    query.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if stateful:
+        spark.conf.set(provider, ROCKSDB)
+    try:
+        query = (
+            df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{place}/checkpoint")
+            .trigger(availableNow=True).start(f"{place}/table")
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(df.schema).parquet(f"{place}/table")
 
 
