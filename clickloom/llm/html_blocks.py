@@ -264,10 +264,15 @@ def training_pages(pages: list[str], seed: int = 11) -> list[tuple[np.ndarray, n
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html", longest: int = 200_000) -> Weights:
     """Weights fitted on at most ``sample`` pages, chosen by hash, of at most ``longest`` characters each.
 
-    Both bounds hold only here: every page is labelled, whatever its length.
+    Both bounds hold only here: every page is labelled, whatever its length. The
+    ids are chosen first, and then one page is fetched for each, so that a task
+    sends ``sample`` ids and no pages that are not used. Pages without an id are
+    not chosen. Without pages, as in an empty table, the weights are fitted on
+    nothing and stay as they start.
     """
-    short = pages.filter(F.col(html_col).isNotNull() & (F.length(html_col) <= longest))
-    rows = short.select(F.xxhash64(F.col(id_col)).alias("o"), F.col(html_col).alias("h")).orderBy("o", "h").limit(sample).collect()
+    short = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).filter(F.col("i").isNotNull() & F.col("h").isNotNull() & (F.length("h") <= longest))
+    chosen = [r["i"] for r in short.select(F.xxhash64("i").alias("o"), "i").distinct().orderBy("o", "i").limit(sample).collect()]
+    rows = short.filter(F.col("i").isin(chosen)).groupBy(F.xxhash64("i").alias("o"), "i").agg(F.min("h").alias("h")).orderBy("o", "i").collect()
     return train(training_pages([r["h"] for r in rows]))
 
 
