@@ -10,6 +10,7 @@ from clickloom.catalog.reports import IN as SPAN_IN, SPAN, _campaign_sql
 from clickloom.operators import bi as I, reports as R, rollups as U, routing as O
 from clickloom.operators.bi import Metric, Policy
 from clickloom.plans.small import with_row
+from clickloom.session import new_folder
 from clickloom.sources import exports as E, ingest as G, tables as T
 from clickloom.sources.demo import Demo, pick
 from clickloom.sources.sessions import assign_sessions, summarise_sessions
@@ -270,6 +271,16 @@ def _(m):
     return rows.select("upload_id", "row_number", F.get_json_object("row_data", "$.c_custkey").alias("key"), F.get_json_object("row_data", "$.c_name").alias("name"))
 
 
+@query("SRC24_csv_with_line_breaks", "SELECT row_number() OVER (ORDER BY doc_id) AS row_number, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents")
+def _(m):
+    """Whole documents as a CSV file with quotes and line breaks inside fields, uploaded in splits."""
+    path = new_folder(m.spark, "upload")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("doc_id", "source", "text")]
+    m.table("documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.concat_ws(",", *quoted).alias("value")).write.text(path)
+    good, _ = T.upload_csv(m.spark, path, "up2", ["doc_id", "source", "text"], header=False)
+    return good.select("row_number", *[F.coalesce(F.get_json_object("row_data", f"$.{c}"), F.lit("")).alias(c) for c in ("doc_id", "source", "text")])
+
+
 @query("SRC25_upload_page", "SELECT row_number, name FROM (SELECT row_number() OVER () AS row_number, c_name AS name FROM customer) ORDER BY 1 LIMIT 15 OFFSET 30")
 def _(m):
     rows = T.upload_rows(m.table("customer"), "up1").select("row_number", F.get_json_object("row_data", "$.c_name").alias("name"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.channels import ai_provider, channel
 from clickloom.functions.props import any_of
+from clickloom.functions.calendar import instant
 from clickloom.functions.stats import percent, ratio
 from clickloom.functions.targeting import json_path
 from clickloom.operators.reports import Span, raw_floor
@@ -108,13 +109,16 @@ def _revenue(events: DataFrame, span: Span) -> DataFrame:
     )
 
 
-def _touches(pageviews: DataFrame) -> DataFrame:
-    return pageviews.select("session_id", "created_at", "event_id", F.struct(*[_blank_to_null(t) for t in TOUCH]).alias("touch"))
+def _touches(pageviews: DataFrame, paid: DataFrame, span: Span) -> DataFrame:
+    """Views of sessions that pay in the range; none after its end can come before a payment."""
+    seen = pageviews.filter(F.col("created_at") <= instant(span.end)).join(paid.select("session_id").distinct(), "session_id", "left_semi")
+    return seen.select("session_id", "created_at", "event_id", F.struct(*[_blank_to_null(t) for t in TOUCH]).alias("touch"))
 
 
 def touch_per_event(events: DataFrame, pageviews: DataFrame, span: Span, model: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Each revenue event with the first or last view of its session so far."""
-    paid, seen = _revenue(events, span), _touches(pageviews)
+    paid = _revenue(events, span)
+    seen = _touches(pageviews, paid, span)
     if model == "first_touch":
         first = seen.groupBy("session_id").agg(F.min_by(F.struct("created_at", "touch"), F.struct("created_at", "event_id")).alias("f"))
         joined = paid.join(first, "session_id", "left")
@@ -134,10 +138,11 @@ def linear_credit(events: DataFrame, pageviews: DataFrame, span: Span, max_rows:
     session total minus the running total at the touch. No pair of event and
     touch is ever formed.
     """
-    firsts = _touches(pageviews).groupBy("session_id", "touch").agg(
+    paid = _revenue(events, span)
+    firsts = _touches(pageviews, paid, span).groupBy("session_id", "touch").agg(
         F.min(F.struct("created_at", "event_id")).alias("at")
     ).select("session_id", "touch", "at.*", F.lit(0).alias("kind"))
-    rows = firsts.unionByName(_revenue(events, span).select("*", F.lit(1).alias("kind")), allowMissingColumns=True)
+    rows = firsts.unionByName(paid.select("*", F.lit(1).alias("kind")), allowMissingColumns=True)
     line = Timeline(rows, ["session_id"], "created_at", ["kind", "event_id"], max_rows)
     line = line.with_columns({"n": Running(1 - F.col("kind"))})
     # Shares are zero on touch rows and on events without a touch.

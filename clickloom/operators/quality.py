@@ -82,16 +82,17 @@ def error_groups(errors: DataFrame, source_maps: DataFrame, span: Span, limit: i
 def match_source_maps(errors: DataFrame, source_maps: DataFrame) -> DataFrame:
     """Each error with the newest map whose URL ends its file name.
 
-    Every ending of a distinct file name meets the maps by equality, so no file
-    is compared with all maps of its release.
+    A distinct file name meets the maps by equality, with its endings of those
+    lengths only that the maps of its release and environment have.
     """
     maps = source_maps.groupBy("release", "environment", "minified_url").agg(
         F.max(F.struct("created_at", "map_id")).alias("_map")
     )
     env = F.coalesce("environment", F.lit("production"))
     files = errors.filter(F.col("filename").isNotNull()).select("release", env.alias("environment"), "filename").distinct()
-    endings = F.transform(F.sequence(F.lit(1), F.length("filename")), lambda i: F.col("filename").substr(i, F.length("filename")))
-    ended = files.filter("filename <> ''").withColumn("minified_url", F.explode(endings))
+    lengths = maps.groupBy("release", "environment").agg(F.collect_set(F.length("minified_url")).alias("_lengths"))
+    each = files.join(lengths, ["release", "environment"]).withColumn("_n", F.explode("_lengths")).filter(F.col("_n").between(1, F.length("filename")))
+    ended = each.select("release", "environment", "filename", F.right("filename", F.col("_n")).alias("minified_url"))
     best = ended.join(maps, ["release", "environment", "minified_url"])
     best = best.groupBy("release", "environment", "filename").agg(F.max("_map").alias("_map"))
     side = best.select(F.col("release").alias("_r"), F.col("environment").alias("_e"), F.col("filename").alias("_f"), F.col("_map.map_id").alias("source_map_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.functions.calendar import instant
@@ -86,6 +88,61 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 
 
+def csv_records(spark: SparkSession, path: str, quote: str = '"', max_lines: int = 10_000) -> DataFrame:
+    """``row_number, record, reason`` of uploaded CSV files, a record being all lines of one row.
+
+    Files are read as lines, in as many splits as they have. A line begins a
+    record if the quotes before it in its file are even in number; the counts
+    of the splits before are added up over one row per split, and so are the
+    numbers of records, 1 to n in file order. A record of more than
+    ``max_lines`` lines, as after a quote that is never closed, is not put
+    together: its lines come one by one with ``reason`` ``too long``, under the
+    record's number. One that ends inside quotes has the reason ``open quote``,
+    others have none. Line breaks inside quotes become ``\\n``.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    here = Window.partitionBy("_file", "_start").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    local = lines.withColumn("_q", quotes % 2).withColumn("_before", F.coalesce(F.sum("_q").over(here), F.lit(0)))
+    ahead = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = local.groupBy("_file", "_start").agg(F.sum("_q").alias("_n")).select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    same = (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s"))
+    marked = local.join(splits, same).withColumn("_first", ((F.col("_before") + F.col("_off")) % 2 == 0).cast("int")).drop("_f", "_s")
+    so_far = Window.partitionBy("_file", "_start").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumn("_in", F.sum("_first").over(so_far))
+    every = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    begun = marked.groupBy("_file", "_start").agg(F.sum("_first").alias("_k")).select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), F.coalesce(F.sum("_k").over(every), F.lit(0)).alias("_rows"))
+    rows = counted.join(begun, same).select("_id", "value", "_q", (F.col("_in") + F.col("_rows")).alias("row_number"))
+    sizes = rows.groupBy("row_number").agg(F.count("*").alias("_n"))
+    long = sizes.filter(F.col("_n") > max_lines).select("row_number")
+    listed = F.array_sort(F.collect_list(F.struct("_id", "value")))
+    short = rows.join(long, "row_number", "left_anti").groupBy("row_number").agg(
+        F.array_join(F.transform(listed, lambda x: x["value"]), "\n").alias("record"), F.when(F.sum("_q") % 2 == 1, "open quote").alias("reason"),
+    )
+    return short.unionByName(rows.join(long, "row_number", "left_semi").select("row_number", F.col("value").alias("record"), F.lit("too long").alias("reason")))
+
+
+def upload_csv(spark: SparkSession, path: str, upload_id: str, columns: Sequence[str], header: bool = True, max_lines: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """An uploaded CSV as numbered JSON objects, and the rows that are none with the reason.
+
+    With ``header`` the first record of the upload is left out of both. Fields
+    are text; a record with more or fewer fields than ``columns`` is refused.
+    Row numbers count all records, so those of refused rows are missing.
+    """
+    bad = "_refused"
+    schema = ", ".join(f"`{c}` string" for c in [*columns, bad])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "escape": '"', "multiLine": "true"}
+    records = csv_records(spark, path, max_lines=max_lines).withColumn("row_number", F.col("row_number") - F.lit(int(header))).filter("row_number > 0")
+    parsed = records.withColumn("_row", F.from_csv("record", schema, options))
+    why = F.coalesce("reason", F.when(F.col("_row").isNull() | F.col(f"_row.{bad}").isNotNull(), "wrong number of fields"))
+    judged = parsed.withColumn("reason", why)
+    fields = F.struct(*[F.col("_row")[c].alias(c) for c in columns])
+    good = judged.filter("reason is null").select(F.lit(upload_id).alias("upload_id"), "row_number", F.to_json(fields).alias("row_data"))
+    return good, judged.filter("reason is not null").select(F.lit(upload_id).alias("upload_id"), "row_number", "record", "reason")
+
+
 def adapter_rows(responses: DataFrame, column: str = "body") -> DataFrame:
     """Rows of adapter responses: an array, or the ``rows`` or ``data`` array of an object."""
     root = F.try_parse_json(column)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import reports as R, rollups as U
 from clickloom.operators.reports import Span
 from clickloom.sources.people_files import BUCKET, delete_visitors, visitor_rows, write_by_visitor
+from clickloom.sources import tables
 from clickloom.sources.tables import month_of
 
 
@@ -87,3 +88,33 @@ def test_sketches_of_days_merge_within_their_bounds(spark):
         found = R.sketched_visitors(sketches, span).first()
         assert found.low <= exact <= found.high and found.high - found.low <= 0.05 * exact + 3
     assert R.sketched_visitors(sketches, Span("2025-01-01", "2025-01-02", "2025-01-03"), "project_id").collect() == []
+
+
+def test_csv_records_over_splits(spark, tmp_path):
+    """Line breaks and doubled quotes inside fields, in files of many splits; bad records are set aside with their number."""
+    rows = [(i, f'note {i} "quoted", with\nbreaks\n\nand ""more""' if i % 3 else f"plain {i}") for i in range(400)]
+    field = lambda v: '"' + str(v).replace('"', '""') + '"'
+    lines = ["id,note"] + [f"{i},{field(t)}" for i, t in rows]
+    lines[100] = "99,one,too many"
+    lines[200] = "199"
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.csv").write_text("\n".join(lines[:250]) + "\n")
+    (tmp_path / "up" / "b.csv").write_text("\n".join(lines[250:]) + '\n400,"never closed\n' + "\n".join(f"x{i}" for i in range(50)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size, limit in (("128m", 10_000), ("700b", 10_000), ("700b", 20)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            good, bad = tables.upload_csv(spark, f"{tmp_path}/up", "u", ["id", "note"], max_lines=limit)
+            want = [(n, str(i), t) for n, (i, t) in enumerate(rows, 1) if n not in (100, 200)]
+            got = good.select("row_number", F.get_json_object("row_data", "$.id").alias("id"), F.get_json_object("row_data", "$.note").alias("note"))
+            assert sorted(map(tuple, got.collect())) == want
+            refused = bad.select("row_number", "reason").collect()
+            assert {(r.row_number, r.reason) for r in refused} == {(100, "wrong number of fields"), (200, "wrong number of fields"), (401, "open quote" if limit > 50 else "too long")}
+            assert len(refused) == (3 if limit > 50 else 53)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.csv").write_text("")
+    good, bad = tables.upload_csv(spark, f"{tmp_path}/none", "u", ["id"])
+    assert good.collect() == bad.collect() == []
