@@ -15,6 +15,7 @@ from clickloom.functions.props import (
     FilterGroup, PropertyFilter, all_of, and_filters, any_of, group_predicate, property_text, safe_number,
 )
 from clickloom.plans.quantile import percentiles
+from clickloom.session import cut_lineage
 from clickloom.sources.event_stream import NONE_LABEL, OTHER_LABEL
 
 QUANTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -142,8 +143,11 @@ def _case(q: TrendsQuery, pick) -> Column:
 
 
 def hits(ev: DataFrame, q: TrendsQuery) -> DataFrame:
-    """One row per event and matching series, from a single read of the events."""
-    base = scoped(ev, q)
+    """One row per event and matching series, from a single read of the events.
+
+    With a comparison the window before is read too; ``win`` tells them apart.
+    """
+    base = scoped(ev, replace(q, date_from=q.previous().date_from) if q.compare else q)
     tests = [series_predicate(s) for s in q.series]
     if len(q.series) == 1:
         matched = base.filter(tests[0]).withColumn("series_index", F.lit(0))
@@ -156,6 +160,7 @@ def hits(ev: DataFrame, q: TrendsQuery) -> DataFrame:
         "unique_group": lambda s: F.col("properties")[f"$group_{s.math_group_type_index}"],
     }
     columns = {
+        "win": F.when(F.col("created_at") < calendar.instant(q.date_from), 1).otherwise(0),
         "bd": q.breakdown.text() if q.breakdown else F.lit(""),
         "bucket": calendar.bucket(F.col("created_at"), q.interval, q.timezone),
     }
@@ -173,9 +178,22 @@ def hits(ev: DataFrame, q: TrendsQuery) -> DataFrame:
     return matched.select("series_index", *[c.alias(n) for n, c in columns.items()])
 
 
-def top_breakdowns(found: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` largest values with their rank, then one row for the rest."""
-    totals = found.groupBy("bd").agg(F.count("*").alias("n"))
+def cells(found: DataFrame, q: TrendsQuery) -> DataFrame:
+    """``found`` grouped by window, series, value, bucket and whom the maths count, with ``n`` and sums.
+
+    All numbers but percentiles of a property come from these rows, so the
+    events are read once, whatever the number of windows and kinds of maths.
+    """
+    keys = [c for c in ("win", "series_index", "bd", "bucket", "actor", "counted") if c in found.columns]
+    sums = [F.count("*").alias("n")]
+    if "number" in found.columns:
+        sums += [F.sum("number").alias("number_sum"), F.count("number").alias("number_n"), F.min("number").alias("number_min"), F.max("number").alias("number_max")]
+    return found.groupBy(*keys).agg(*sums)
+
+
+def top_breakdowns(grouped: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` largest values with their rank, then one row for the rest; of cells or of single rows."""
+    totals = grouped.groupBy("bd").agg((F.sum("n") if "n" in grouped.columns else F.count("*")).alias("n"))
     head = totals.orderBy(F.desc("n"), "bd").limit(limit + 1)
     ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "bd")))
     other = F.col("rank") > limit
@@ -190,53 +208,48 @@ def label_breakdowns(found: DataFrame, top: DataFrame) -> DataFrame:
     ).drop("_kept")
 
 
-def aggregate(found: DataFrame, q: TrendsQuery) -> DataFrame:
-    """``series_index, bd, bucket, value`` for all maths of the query."""
+def aggregate(grouped: DataFrame, found: DataFrame, q: TrendsQuery) -> DataFrame:
+    """``series_index, bd, bucket, value`` for all maths of the query.
+
+    ``grouped`` has the cells of one window; percentiles of a property take
+    their rows from ``found``.
+    """
     keys = ["series_index", "bd", "bucket"]
     by_kind: dict[str, list[int]] = {}
     for i, s in enumerate(q.series):
         kind = "actor" if s.math.startswith(ACTOR_PREFIX) else "quantile" if s.math in QUANTILES else "plain"
         by_kind.setdefault(kind, []).append(i)
 
-    def only(kind: str) -> DataFrame:
-        return found if len(by_kind) == 1 else found.filter(F.col("series_index").isin(by_kind[kind]))
+    def only(rows: DataFrame, kind: str) -> DataFrame:
+        return rows if len(by_kind) == 1 else rows.filter(F.col("series_index").isin(by_kind[kind]))
 
     parts: list[DataFrame] = []
     if "plain" in by_kind:
         maths = {q.series[i].math for i in by_kind["plain"]}
-        aggregates = {
-            "total": F.count("*"), "distinct": F.count_distinct("counted") if "counted" in found.columns else None,
-        }
-        for name in ("sum", "avg", "min", "max"):
-            aggregates[name] = getattr(F, name)("number") if "number" in found.columns else None
+        aggregates = {"total": lambda: F.sum("n"), "distinct": lambda: F.count_distinct("counted")}
+        aggregates["sum"] = lambda: F.sum("number_sum")
+        aggregates["avg"] = lambda: F.try_divide(F.sum("number_sum"), F.sum("number_n"))
+        aggregates["min"], aggregates["max"] = lambda: F.min("number_min"), lambda: F.max("number_max")
         wanted = {m if m in aggregates else "distinct" for m in maths}
-        sums = only("plain").groupBy(*keys).agg(*[aggregates[w].cast("double").alias(f"_{w}") for w in sorted(wanted)])
-        value = _case(
-            replace(q, series=tuple(q.series)),
-            lambda s: F.col("_" + (s.math if s.math in wanted else "distinct"))
-            if s.math in maths else None,
-        )
+        sums = only(grouped, "plain").groupBy(*keys).agg(*[aggregates[w]().cast("double").alias(f"_{w}") for w in sorted(wanted)])
+        value = _case(q, lambda s: F.col("_" + (s.math if s.math in wanted else "distinct")) if s.math in maths else None)
         parts.append(sums.select(*keys, value.alias("value")))
     if "quantile" in by_kind:
         wanted = {q.series[i].math: QUANTILES[q.series[i].math] for i in by_kind["quantile"]}
-        sums = percentiles(only("quantile"), keys, "number", wanted)
+        sums = percentiles(only(found, "quantile"), keys, "number", wanted)
         value = _case(q, lambda s: F.col(s.math) if s.math in wanted else None)
         parts.append(sums.select(*keys, value.alias("value")))
     if "actor" in by_kind:
-        counts = only("actor").groupBy(*keys, "actor").agg(F.count("*").alias("c"))
+        counts = only(grouped, "actor").groupBy(*keys, "actor").agg(F.sum("n").alias("c"))
         maths = {q.series[i].math.removeprefix(ACTOR_PREFIX) for i in by_kind["actor"]}
         plain = maths - set(QUANTILES)
-        if plain:
-            sums = counts.groupBy(*keys).agg(*[getattr(F, m)("c").cast("double").alias(m) for m in sorted(plain)])
-            parts.append(_actor_values(sums, q, keys, plain))
-        ranked = maths & set(QUANTILES)
-        if ranked:
-            # Few distinct counts exist: m of them need about m * m / 2 events.
-            weighted = counts.groupBy(*keys, "c").agg(F.count("*").alias("actors"))
-            sums = weighted.groupBy(*keys).agg(
-                *[F.percentile("c", F.lit(QUANTILES[m]), F.col("actors")).alias(m) for m in sorted(ranked)]
-            )
-            parts.append(_actor_values(sums, q, keys, ranked))
+        # Few distinct counts exist: m of them need about m * m / 2 events.
+        weighted = counts.groupBy(*keys, "c").agg(F.count("*").alias("actors"))
+        sums = weighted.groupBy(*keys).agg(
+            *[(F.sum(F.col("c") * F.col("actors")) / F.sum("actors") if m == "avg" else getattr(F, m)("c")).cast("double").alias(m) for m in sorted(plain)],
+            *[F.percentile("c", F.lit(QUANTILES[m]), F.col("actors")).alias(m) for m in sorted(maths - plain)],
+        )
+        parts.append(_actor_values(sums, q, keys, maths))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -251,15 +264,19 @@ def _actor_values(sums: DataFrame, q: TrendsQuery, keys: Sequence[str], maths: s
 
 
 def run_period(ev: DataFrame, q: TrendsQuery) -> DataFrame:
-    """Zero-filled values of one window, before formula and smoothing."""
-    found = hits(ev, q)
-    spark = ev.sparkSession
+    """Zero-filled values of the query's own window, before formula and smoothing."""
+    found = hits(ev, replace(q, compare=False))
+    return _period(cells(found, q), found, q)
+
+
+def _period(grouped: DataFrame, found: DataFrame, q: TrendsQuery) -> DataFrame:
+    spark = grouped.sparkSession
     if q.breakdown:
-        top = top_breakdowns(found, q.breakdown.limit)
-        found = label_breakdowns(found, top)
+        top = top_breakdowns(grouped, q.breakdown.limit)
+        grouped, found = label_breakdowns(grouped, top), label_breakdowns(found, top)
     else:
         top = spark.range(1).select(F.lit("").alias("bd"), F.lit(1).alias("rank"))
-    values = aggregate(found, q)
+    values = aggregate(grouped, found, q)
     indexes = F.explode(F.array(*[F.lit(i) for i in range(len(q.series))]))
     dense = calendar.with_dense_buckets(
         top.withColumn("series_index", indexes), q.date_from, q.date_to, q.interval, q.timezone
@@ -295,9 +312,15 @@ def trends(ev: DataFrame, q: TrendsQuery) -> DataFrame:
     windows = [("current" if q.compare else None, q)]
     if q.compare:
         windows.append(("previous", q.previous()))
+    found = hits(ev, q)
+    grouped = cells(found, q)
+    kinds = {s.math.startswith(ACTOR_PREFIX) for s in q.series if s.math not in QUANTILES}
+    if len(windows) + len(kinds) + bool(q.breakdown) > 2:  # the cells are used more than once
+        grouped = cut_lineage(grouped)
     parts = []
-    for compare_label, window in windows:
-        values = run_period(ev, window)
+    for i, (compare_label, window) in enumerate(windows):
+        here = F.col("win") == i
+        values = _period(grouped.filter(here), found.filter(here), window)
         if q.formula:
             values = apply_formula(values, q)
         parts.append(post_process(values, q).withColumn("compare_label", F.lit(compare_label).cast("string")))
@@ -330,7 +353,7 @@ def trends_actors(
         rows = rows.filter(calendar.bucket(F.col("created_at"), q.interval, q.timezone) == bucket)
     if q.breakdown and breakdown_value is not None:
         if breakdown_value == OTHER_LABEL:
-            ranked = top_breakdowns(hits(ev, q), q.breakdown.limit).filter(F.col("bd") != OTHER_LABEL)
+            ranked = top_breakdowns(hits(ev, replace(q, compare=False)), q.breakdown.limit).filter(F.col("bd") != OTHER_LABEL)
             rows = rows.withColumn("bd", q.breakdown.text()).join(F.broadcast(ranked), "bd", "left_anti")
         else:
             rows = rows.filter(q.breakdown.text() == breakdown_value)
