@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types
 from clickloom.functions import calendar
 from clickloom.functions.props import FilterGroup, PropertyFilter, all_of, and_filters, any_of, group_predicate
 from clickloom.functions.stats import bin_index, bin_width, percent
-from clickloom.operators.trends import Breakdown, actor, in_range, page
+from clickloom.operators.trends import MAX_TOP, Breakdown, actor, in_range, page
 from clickloom.plans.ordered import MAX_ROWS, Following, Timeline
 from clickloom.plans.quantile import percentiles
 from clickloom.sources.event_stream import NONE_LABEL, OTHER_LABEL, PAGEVIEW
@@ -69,6 +69,8 @@ class FunnelQuery:
             raise ValueError("unknown funnel order")
         if self.attribution not in ("first_touch", "last_touch", "step"):
             raise ValueError("unknown breakdown attribution")
+        if self.breakdown and self.breakdown.limit > MAX_TOP:
+            raise ValueError(f"a breakdown has at most {MAX_TOP} values")
         for x in self.exclusions:
             if not 0 <= x.from_step < x.to_step < len(self.steps):
                 raise ValueError("an exclusion lies between two steps")

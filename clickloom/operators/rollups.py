@@ -114,5 +114,5 @@ def touched_days(batch: DataFrame, ts: str = "created_at") -> DataFrame:
 
 def reroll(facts: DataFrame, days: DataFrame, build, ts: str = "created_at") -> DataFrame:
     """Rebuild a rollup for the touched dates only, late rows included."""
-    kept = facts.join(F.broadcast(days), F.to_date(facts[ts]) == days["date"], "left_semi")
+    kept = facts.join(days, F.to_date(facts[ts]) == days["date"], "left_semi")
     return build(kept)

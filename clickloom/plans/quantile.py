@@ -10,6 +10,7 @@ from clickloom.plans.small import broadcast_if_small
 
 MAX_GROUP_ROWS = 1_000_000
 ACCURACY = 10_000
+RANGES = 1_024  # of a bracket
 
 
 def percentiles(
@@ -24,7 +25,9 @@ def percentiles(
 
     Groups of at most ``max_group_rows`` values use the built-in percentile.
     When a larger group exists, an approximate sketch brackets each wanted
-    rank, and only the rows inside the bracket are ranked exactly.
+    rank, the values inside the bracket are counted by equal ranges, and only
+    those ranges that hold the rank or its neighbour are ranked exactly, each by
+    itself. Equal values are one entry with a count.
     """
     keys = list(keys)
     if not keys:
@@ -79,11 +82,22 @@ def _bracketed(values: DataFrame, keys: list[str], probabilities: dict[str, floa
         F.col("b.i").alias("_i"),
         F.col("b.rank").alias("_rank"),
         F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v"),
-    ).groupBy(*keys, "_i", "_rank", "_v").agg(F.count("*").alias("_c"))
-    ordered = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_upto", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ).filter(F.col("_v").isNotNull())
+        # The range of the bracket that a value lies in; -1 for all values below the bracket.
+        F.when(F.col("_v") < F.col("b.lo"), -1).when(F.col("b.hi") <= F.col("b.lo"), 0).otherwise(
+            F.least(F.lit(RANGES - 1), F.floor((F.col("_v") / 2 - F.col("b.lo") / 2) / (F.col("b.hi") / 2 - F.col("b.lo") / 2) * RANGES))
+        ).cast("int").alias("_r"),
+    ).groupBy(*keys, "_i", "_rank", "_v", "_r").agg(F.count("*").alias("_c"))
+    ranges = counted.groupBy(*keys, "_i", "_rank", "_r").agg(F.sum("_c").alias("_c"))
+    along = Window.partitionBy(*keys, "_i").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)  # at most RANGES + 1 rows
+    ranges = ranges.withColumn("_before", F.sum("_c").over(along) - F.col("_c"))
+    holds = lambda rank: (F.col("_before") <= rank) & (F.col("_before") + F.col("_c") > rank)
+    wanted = ranges.filter((F.col("_r") >= 0) & (holds(F.floor("_rank")) | holds(F.ceil("_rank"))))
+    side = wanted.select(*[F.col(k).alias(f"_w{j}") for j, k in enumerate(keys)], F.col("_i").alias("_wi"), F.col("_r").alias("_wr"), "_before")
+    here = (F.col("_i") == F.col("_wi")) & (F.col("_r") == F.col("_wr"))
+    for j, k in enumerate(keys):
+        here = here & F.col(k).eqNullSafe(F.col(f"_w{j}"))
+    ordered = Window.partitionBy(*keys, "_i", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(side, here).withColumn("_upto", F.col("_before") + F.sum("_c").over(ordered))
     picked = ranked.groupBy(*keys, "_i").agg(
         F.max("_rank").alias("_rank"),
         F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_v"))).alias("_a"),
