@@ -79,7 +79,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_jaccard_join")
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+SMALL_LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(SMALL_LETTERS)} AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b, p.n = x.n AND p.n = y.n AS same FROM pair p JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+linked AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_same FROM link GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, least.b) AS component_id, 1 + coalesce(n_same, 0) AS class_size, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.a = w.doc_id LEFT JOIN linked ON linked.a = w.doc_id
+"""
+
+
+@query("op3_jaccard_join", JACCARD)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -90,7 +111,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op5_substring_dedup")
+REPEATS = f"""
+WITH w AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS seq
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+first AS (SELECT seq, min((doc_id, i)) AS place FROM win GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN first USING (seq) CROSS JOIN range(20) r(j) WHERE (doc_id, i) > place),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op5_substring_dedup", REPEATS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", hex_digest(F.col("kept")).alias("kept_sha256"))
@@ -104,7 +139,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.size(F.filter("spans", only(k))).cast("long").alias(f"n_{k}") for k in SECRET_KINDS], hex_digest(span_list(base)).alias("base_sha256"), span_list(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
-@query("op7_decontamination")
+PASSAGES = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce({SMALL_LETTERS}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT item_id, regexp_extract_all(coalesce({SMALL_LETTERS}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+passage AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(list_slice(words, i, i + 9), ' ') AS seq
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM q WHERE len(words) > 0)),
+win AS (
+  SELECT doc_id, size, i, array_to_string(list_slice(words, i, i + size - 1), ' ') AS seq
+  FROM (SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT size FROM passage) WHERE len(words) >= size)),
+met AS (SELECT doc_id, size, i, item_id FROM win JOIN passage USING (size, seq)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM met CROSS JOIN range(10) r(j) WHERE j < size GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
+@query("op7_decontamination", PASSAGES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = hex_digest(F.array_join("items", ",")).alias("items_sha256")
