@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Give back the disk of a job's shuffles when it ends, not when the driver's memory happens to be collected.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Plans with large literals would otherwise be kept as text by the driver, once per query and change of plan.
+    "spark.sql.maxPlanStringLength": "200000",
     # Parse a wide JSON column once per row instead of once per used field.
     "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
 }
