@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -94,18 +97,27 @@ def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return read_records(write_records(docs, tokenizer_path(), encode_special_tokens=False))
 
 
+def configured(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with the session's settings applied, as it may also be called by itself, without ``run``."""
+
+    @wraps(stage)
+    def settled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return settled
+
+
 STAGES = [
-    ("quality_rules", quality_stage),
-    ("jaccard_join", near_copy_stage),
-    ("decontamination", benchmark_stage),
-    ("source_mixing", mixing_stage),
-    ("binary_records", records_stage),
+    ("quality_rules", configured(quality_stage)),
+    ("jaccard_join", configured(near_copy_stage)),
+    ("decontamination", configured(benchmark_stage)),
+    ("source_mixing", configured(mixing_stage)),
+    ("binary_records", configured(records_stage)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = new_folder(spark, name)

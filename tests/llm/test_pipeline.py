@@ -102,3 +102,18 @@ def test_run_goes_through_all_stages(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted(want)
     assert got.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(n for _, n in want)
+
+
+def test_stages_called_by_themselves_have_the_settings(spark, written):
+    docs, _ = written
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), FOLDER)
+        assert spark.conf.get(key) == "true", name
+
+
+def test_the_plan_of_the_rules_does_not_hold_the_weights(spark, written):
+    docs, _ = written
+    plan = STAGES["quality_rules"](spark, docs, FOLDER)._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000 and len(plan.executedPlan().toString()) < 100_000
