@@ -15,7 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ END_ID = 2
 NO_ID = -(2**63)  # stands for a null document id
 CACHED = 1_500_000  # encoded pieces that a worker remembers at most, some 200 bytes each
 TEXTS = 2_000  # texts encoded together at most
+JOINED = 500  # new pieces encoded as one text at most
 READ_BYTES = 8_000_000
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8")])
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -77,8 +78,11 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = special_as_text
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)  # none reaches over a space
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added.values())  # none reaches over a space
+        vocabulary = self.tokenizer.get_vocab()
+        self.spacing = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # tokens that begin with a space
+        self.spacing[[i for t, i in vocabulary.items() if t.startswith("\u0120") and i not in added]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -86,17 +90,46 @@ class Pieces:
         self.spaced: dict[str, int] = {}
         self.ids, self.ends, self.n = np.empty(0, "<u4"), np.zeros(1, np.int64), 0  # ends[0] is where row 0 begins
 
+    def encoded(self, head: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and how many each has.
+
+        Pieces behind a space that end visibly are joined into longer texts, and
+        each starts at a token that begins with a space, as it holds no other.
+        A text in which the starts do not tell the pieces apart is done again
+        piece by piece.
+        """
+        if head != " " or not self.cuts or not all(p and not p[-1].isspace() for p in pieces):
+            joined = [[p] for p in pieces]
+        else:
+            joined = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        found, lengths = [], []
+        for some, e in zip(joined, self.tokenizer.encode_batch_fast([head + " ".join(x) for x in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.spacing[ids]) if len(some) > 1 else np.zeros(1, np.int64)
+            if len(starts) == len(some) and starts[0] == 0:
+                found.append(ids)
+                lengths.append(np.diff(starts, append=len(ids)))
+            else:
+                alone = [e.ids for e in self.tokenizer.encode_batch_fast([head + p for p in some], add_special_tokens=False)]
+                found += [np.array(x, "<u4") for x in alone]
+                lengths.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate(found), np.concatenate(lengths)
+
     def rows(self, known: dict[str, int], head: str, pieces: Sequence[str]) -> np.ndarray:
         rows = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(rows < 0)
         new = list(dict.fromkeys(pieces[i] for i in missing))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([head + p for p in some], add_special_tokens=False)]
+        new.sort(key=lambda p: p[-1:].isspace() or not p)  # those that cannot be joined come last
+        plain = sum(1 for p in new if p and not p[-1].isspace())
+        cuts = sorted({*range(0, len(new), 20_000), plain})
+        for lo, hi in zip(cuts, [*cuts[1:], len(new)]):
+            some = new[lo:hi]
+            if not some:
+                continue
+            ids, lengths = self.encoded(head, some)
             used = int(self.ends[self.n])
-            ends = used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-            self.ids = _appended(self.ids, used, np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) - used))
-            self.ends = _appended(self.ends, self.n + 1, ends)
+            self.ids = _appended(self.ids, used, ids)
+            self.ends = _appended(self.ends, self.n + 1, used + np.cumsum(lengths))
             known.update(zip(some, range(self.n, self.n + len(some))))
             self.n += len(some)
         rows[missing] = [known[pieces[i]] for i in missing]

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from zlib import crc32
 
@@ -422,3 +423,32 @@ def test_personal_data(spark, docs):
     assert len(got) == len(every)
     none = spark.createDataFrame([], EMPTY)
     assert find_personal_data(none).count() == 0
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """Some hundred words a text of the tokenizer; ids as of whole texts, also where pieces end in white space or are empty."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as source:
+        content = source.read()
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abest\u00e9\u6f22\u0120'1.\n\t\u00a0") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(200)) + rng.choice(["", " ", "\n", " <|endoftext|>", "\u3000 "]) for _ in range(40)]
+    texts += ["x <|endoftext|>y <|endoftext|> z", " ", "", "a  b", None]
+    own, sent = records.Pieces(content, False), []
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            sent.extend(some)
+            return whole.encode_batch_fast(some, **more)
+
+    whole, own.tokenizer = own.tokenizer, Counted()
+    monkeypatch.setattr(records, "_pieces", lambda *a: own)
+    ids, ends = records.encode(content, pa.array(texts), False)
+    reference = Tokenizer.from_str(content)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+    plain = [f"w{i}" for i in range(5_000)]
+    sent.clear()
+    records.encode(content, pa.array([" ".join(plain)]), False)
+    assert len(sent) <= 12
