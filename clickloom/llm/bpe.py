@@ -32,6 +32,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 PIECES = 400_000  # encoded pieces that a worker remembers at most
 PAIRS = 300_000  # pairs of tokens whose compatibility a worker remembers at most
 LONG_PIECE = 2_000  # bytes; the matches of longer ones are not held at once
+SHORT_PIECE = 64  # bytes; in shorter ones the longest tokens are looked up where they are needed
 PIECE_CHARS = 100  # longer pieces are not remembered
 TEXT_BYTES = 2_000_000  # of the texts encoded together
 IDS = 500_000  # of the lists decoded together
@@ -72,6 +73,12 @@ class Encoder:
         self.ordered = all(i > max(parts) for i, parts in self.parts.items())
         #: The longest token that is a proper prefix of a token, or -1.
         self.shorter = {i: next((reached[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in reached), -1) for t, i in reached.items()}
+        self.reached = reached
+        #: The length of the longest token that begins with these four bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in reached:
+            if len(t) >= 4:
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
         self.automaton = ahocorasick.Automaton()
         for t, i in reached.items():  # backwards, so that a match ends where a token starts
             self.automaton.add_word(t.decode("latin-1")[::-1], i)
@@ -111,7 +118,7 @@ class Encoder:
         token = longest[left]
         while left:
             while token >= 0:
-                if left - sizes[token] not in dead:
+                if not dead or left - sizes[token] not in dead:
                     if not out or (known := fits((out[-1], token))) or known is None and self.compatible(out[-1], token):
                         break
                 token = shorter[token]
@@ -129,10 +136,13 @@ class Encoder:
     def longest(self, data: bytes) -> Mapping[int, int] | Sequence[int]:
         """The longest token at every place, by the number of bytes from there to the end.
 
+        In a short piece it is looked up when a place is asked for.
         A character that no token has stands in front, so that places count from
         one. Of the matches that end at one place the automaton gives the longest
         first, and read backwards they are those that start there.
         """
+        if len(data) <= SHORT_PIECE:
+            return Places(data, self.reach, self.reached)
         matches = self.automaton.iter("\u0100" + data.decode("latin-1")[::-1])
         if len(data) <= LONG_PIECE:
             return dict(reversed(list(matches)))
@@ -179,6 +189,24 @@ def _appended(values: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     return values
 
 
+class Places(dict):
+    """The longest token at the places of a short piece, found from the longest that the first four bytes allow."""
+
+    __slots__ = ("data", "reach", "reached")
+
+    def __init__(self, data: bytes, reach: dict[bytes, int], reached: dict[bytes, int]):
+        self.data, self.reach, self.reached = data, reach, reached
+
+    def __missing__(self, left: int) -> int:
+        data, find = self.data, self.reached.get
+        at = len(data) - left
+        size = min(left, self.reach.get(data[at : at + 4], 3))
+        while (token := find(data[at : at + size])) is None:
+            size -= 1
+        self[left] = token
+        return token
+
+
 @lru_cache(maxsize=1)
 def encoder(lines: bytes, pattern: str) -> Encoder:
     return Encoder(lines, pattern)

@@ -68,6 +68,14 @@ def test_a_vocabulary_whose_ranks_are_no_order_of_merges():
         Encoder(b"YQ== 0", ".")
 
 
+def test_short_pieces_need_no_automaton(own, reference, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdeinorst\u00e9\u6f22") for _ in range(rng.randint(1, 16))) for _ in range(40)) for _ in range(30)]
+    own.forget()
+    monkeypatch.setattr(own, "automaton", None)
+    assert encoded(own, texts) == reference.encode_ordinary_batch(texts)
+
+
 def test_documents_round_trip(spark, reference):
     df, rows = awkward(spark)
     df = df.withColumnsRenamed({"size": "ids", "key": "decoded"})
