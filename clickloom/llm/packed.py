@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 6_000_000
+PART_BYTES = 500_000  # text whose words are hashed at a time; the arrays for it take some 50 times as much
 PACKED = "bucket int, keys binary, sizes binary, counts binary, hashes binary"
 _random = np.random.default_rng(20_240_229)
 BYTE_CODES = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -37,6 +38,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the number of words of each text."""
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    starts = np.flatnonzero(np.diff(ends // PART_BYTES, prepend=-1)).tolist()
+    found = [_word_hashes(texts[i:j], lower) for i, j in zip(starts, [*starts[1:], len(texts)])]
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+
+
+def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)

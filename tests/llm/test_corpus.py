@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 from cases import ALNUM_WORDS, ASCII_LOWER, FOLDER, SPACE_WORDS, awkward, components, digest, order, without_repeats
 
@@ -13,6 +15,7 @@ from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.jaccard_join import jaccard_components
 from clickloom.llm.mixing import mix
 from clickloom.llm.order import running_total
+from clickloom.llm.packed import word_hashes
 from clickloom.llm.quality import quality_rules, target_weights, trusted_ids
 from clickloom.llm.queries import QUERIES, tokenizer_path
 from clickloom.llm.records import read_records, write_records
@@ -452,3 +455,32 @@ def test_new_pieces_are_encoded_together(monkeypatch):
     sent.clear()
     records.encode(content, pa.array([" ".join(plain)]), False)
     assert len(sent) <= 12
+
+
+def test_a_worker_remembers_few_pieces():
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        source = file.read()
+    lots = [pa.array([" ".join(f"w{lot}x{i}" for i in range(at, at + 20)) for at in range(0, 40_000, 20)]) for lot in range(12)]
+    held = []
+    for lot in lots:
+        ids, ends = records.encode(source, lot, False)
+        pieces = records._pieces(source, False)
+        held.append(len(pieces.plain) + len(pieces.spaced))
+        alone = pieces.tokenizer.encode_batch_fast(lot.to_pylist()[-3:], add_special_tokens=False)
+        assert ids[ends[-4] :].tolist() == [i for e in alone for i in e.ids]
+    assert max(held) < 300_000
+
+
+def test_words_are_hashed_in_little_memory():
+    pick = random.Random(5)
+    texts = [" ".join(pick.choices(("Ab", "c", "deFg", "\t", "é"), k=pick.choice((0, 1, 700, 3_000)))).encode() for _ in range(1_500)]
+    texts.insert(700, b"x " * 400_000)
+    tracemalloc.start()
+    hashes, n = word_hashes(texts, lower=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = [word_hashes([t], lower=True) for t in texts]
+    assert hashes.tolist() == [h for x, _ in alone for h in x.tolist()]
+    assert n.tolist() == [k for _, x in alone for k in x.tolist()]
+    assert most < 20 * sum(map(len, texts))
+    assert [len(x) for x in word_hashes([], lower=True)] == [0, 0]
