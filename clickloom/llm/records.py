@@ -28,7 +28,7 @@ from clickloom.session import cut_lineage, new_folder
 
 END_ID = 2
 NO_ID = -(2**63)  # stands for a null document id
-CACHED = 250_000  # once a worker remembers more encoded pieces, of some 150 bytes each, it starts anew with the next texts
+CACHED = 500_000  # once a worker remembers more encoded pieces, of some 150 bytes each, it starts anew with the next texts
 TEXTS = 2_000  # texts encoded together at most
 JOINED = 500  # new pieces encoded as one text at most
 READ_BYTES = 8_000_000
